@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, packing, simhash, tokencount
+from . import chat, fingerprint, mixing, packing, pii, rules, secrets, simhash, tokencount, toxicity
 from .shared import documents
 
 #: Where the vocabulary file of the public tokenizer lies; a parameter, never copied.
@@ -39,5 +39,38 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_best_fit_packing, op5_token_counts, op10_simhash)}
-ORACLES: dict[str, str] = {}
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.spans(documents(spark, sf_dir)))
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rendered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.planned(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    return rows.select("_row.doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), mixing.taken().alias("taken"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.verdicts(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pii.pseudonymised(docs, count="n_values").select("doc_id", "text", "n_values")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = toxicity.scored(docs, toxicity.model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", predicted, "spans")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_fingerprints, op2_secret_scan, op3_best_fit_packing, op4_chat, op5_token_counts, op6_source_mix, op7_quality_rules, op8_pii, op9_toxicity, op10_simhash)
+}
+#: SQL where it can say the whole query; the others are tested against brute force in tests/llm.
+ORACLES: dict[str, str] = {"op4_chat": chat.ORACLE}
