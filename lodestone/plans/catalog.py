@@ -343,30 +343,37 @@ def w03_greedy_budget(spark, d):
     return budgets.greedy(rows, ["user_id"], ["event_id"], 500).select("user_id", F.explode("rows").alias("r")).select("user_id", "r.event_id")
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN r = 0 THEN l_returnflag ELSE l_returnflag || '_' || t END AS unique_id FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY l_linenumber) - 1 AS t, row_number() OVER (PARTITION BY l_orderkey, l_linestatus, l_returnflag ORDER BY l_linenumber) - 1 AS r FROM lineitem)")
+@query("SELECT user_id, event_id, CASE WHEN r = 0 THEN i ELSE i || '_' || t END AS unique_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS t, row_number() OVER (PARTITION BY user_id, event_type, i ORDER BY event_id) - 1 AS r FROM (SELECT *, 'f' || (event_id % 3) AS i FROM events))")
 def w04_unique_ids(spark, d):
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linestatus").alias("type"), F.col("l_returnflag").alias("identifier"))
-    return budgets.unique_ids(rows, ["l_orderkey"], "l_linenumber").select("l_orderkey", "l_linenumber", "unique_id")
+    rows = table(spark, d, "events").select("user_id", "event_id", F.col("event_type").alias("type"), F.concat(F.lit("f"), F.col("event_id") % 3).alias("identifier"))
+    return budgets.unique_ids(rows, ["user_id"], "event_id").select("user_id", "event_id", "unique_id")
 
 
-@query("SELECT l_orderkey AS file, l_linenumber, CASE WHEN n = 1 THEN l_returnflag ELSE l_returnflag || ':' || n END AS span_id FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS n FROM lineitem)")
+@query("SELECT user_id AS file, event_id, CASE WHEN n = 1 THEN event_type ELSE event_type || ':' || n END AS span_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events)")
 def w05_span_ids(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), "l_linenumber", F.col("l_returnflag").alias("base_id"))
-    return budgets.span_ids(rows, "l_linenumber").select("file", "l_linenumber", "span_id")
+    rows = table(spark, d, "events").select(F.col("user_id").alias("file"), "event_id", F.col("event_type").alias("base_id"))
+    return budgets.span_ids(rows, "event_id").select("file", "event_id", "span_id")
 
 
-@query("SELECT l_orderkey AS file, l_linenumber AS ord, lag(l_linenumber) OVER w AS previous, lead(l_linenumber) OVER w AS next, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS tokens_before FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)")
+_K = "CAST(json_extract(props, '$.k') AS BIGINT)"
+
+
+def _k():
+    return F.get_json_object("props", "$.k").cast("long")
+
+
+@query(f"SELECT user_id AS file, event_id AS ord, lag(event_id) OVER w AS previous, lead(event_id) OVER w AS next, CAST(coalesce(sum({_K}) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS tokens_before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 def w10_neighbours(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("ord"), F.col("l_quantity").cast("long").alias("tokens"))
+    rows = table(spark, d, "events").select(F.col("user_id").alias("file"), F.col("event_id").alias("ord"), _k().alias("tokens"))
     return budgets.neighbours(rows).select("file", "ord", "previous", "next", "tokens_before")
 
 
-@query("""
-WITH h AS (SELECT l_orderkey AS search_id, l_partkey % 20 AS file_path, l_suppkey AS span_id, l_linenumber AS rank, l_partkey % 50 AS start_line, l_partkey % 50 + 30 AS end_line, sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS t FROM lineitem),
+@query(f"""
+WITH h AS (SELECT user_id AS search_id, event_id % 20 AS file_path, event_id AS rank, event_id % 50 AS start_line, event_id % 50 + 30 AS end_line, sum({_K}) OVER (PARTITION BY user_id ORDER BY event_id) AS t FROM events),
 c AS (SELECT p_partkey % 20 AS file_path, min(p_size) AS low, min(p_size) + 5 AS high FROM part GROUP BY 1)
 SELECT search_id, file_path, low, high, min(rank) AS rank, CAST(min_by(t, rank) AS BIGINT) AS context_tokens FROM h JOIN c USING (file_path) WHERE start_line - 1 <= low AND end_line + 1 >= high GROUP BY ALL""")
 def r12_covered_changes(spark, d):
-    hits = table(spark, d, "lineitem").selectExpr("l_orderkey as search_id", "l_partkey % 20 as file_path", "l_suppkey as span_id", "l_linenumber as rank", "l_partkey % 50 as start_line", "l_partkey % 50 + 30 as end_line", "cast(l_quantity as bigint) as tokens")
+    hits = table(spark, d, "events").select(F.col("user_id").alias("search_id"), (F.col("event_id") % 20).alias("file_path"), F.col("event_id").alias("span_id"), F.col("event_id").alias("rank"), (F.col("event_id") % 50).alias("start_line"), (F.col("event_id") % 50 + 30).alias("end_line"), _k().alias("tokens"))
     changes = table(spark, d, "part").groupBy((F.col("p_partkey") % 20).alias("file_path")).agg(F.min("p_size").alias("low"), (F.min("p_size") + 5).alias("high"))
     return budgets.covered_changes(hits, changes).select("search_id", "file_path", "low", "high", "rank", "context_tokens")
 
@@ -518,7 +525,7 @@ def s25_next_number(spark, d):
     return out.select("files", F.col("next").cast("long").alias("next"))
 
 
-@query("SELECT list_sort(list_distinct(list(f) FILTER (NOT contains(f, '/')))) AS files, list_sort(list_distinct(list(split_part(f, '/', 1)) FILTER (contains(f, '/')))) AS directories FROM (SELECT regexp_replace(regexp_replace(url, '^https?://[^/]+/', ''), '[?#].*$', '') AS f FROM pages)")
+@query("SELECT coalesce(list_sort(list_distinct(list(f) FILTER (NOT contains(f, '/')))), []::VARCHAR[]) AS files, list_sort(list_distinct(list(split_part(f, '/', 1)) FILTER (contains(f, '/')))) AS directories FROM (SELECT regexp_replace(regexp_replace(url, '^https?://[^/]+/', ''), '[?#].*$', '') AS f FROM pages)")
 def s23_listing(spark, d):
     from ..operators import retrieval
 
@@ -526,16 +533,17 @@ def s23_listing(spark, d):
     return retrieval.listing(table(spark, d, "pages").select(path.alias("file_path")))
 
 
-@query("""
-WITH h AS (SELECT l_orderkey AS query_id, l_linenumber AS rank, l_partkey % 3 AS f, l_suppkey % 4 AS s, CAST(l_quantity AS BIGINT) AS tokens FROM lineitem),
+@query(f"""
+WITH h AS (SELECT user_id AS query_id, event_id AS rank, event_id % 3 AS f, event_id % 4 AS s, {_K} AS tokens FROM events),
 u AS (SELECT *, row_number() OVER (PARTITION BY query_id, f, s ORDER BY rank) AS n FROM h),
 w AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) - tokens AS before, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS c FROM u WHERE n = 1)
-SELECT query_id, f::VARCHAR AS file_path, s::VARCHAR AS span_id, rank, tokens FROM w WHERE before <= 60 AND c <= 4""")
+SELECT query_id, f::VARCHAR AS file_path, s::VARCHAR AS span_id, rank, tokens FROM w WHERE before <= 300 AND c <= 9""")
 def v05_admitted_spans(spark, d):
     from ..operators import retrieval
 
-    hits = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("rank"), (F.col("l_partkey") % 3).cast("string").alias("file_path"), F.array(F.struct((F.col("l_suppkey") % 4).cast("string").alias("span_id"), F.col("l_quantity").cast("long").alias("tokens"))).alias("spans"))
-    return retrieval.admitted_spans(hits, 3, 60)
+    spans = F.array(F.struct((F.col("event_id") % 4).cast("string").alias("span_id"), _k().alias("tokens")))
+    hits = table(spark, d, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("rank"), (F.col("event_id") % 3).cast("string").alias("file_path"), spans.alias("spans"))
+    return retrieval.admitted_spans(hits, 8, 300)
 
 
 @query("SELECT l_orderkey AS query_id, count(*) AS spans, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS tokens, CASE WHEN (sum(CAST(l_quantity AS BIGINT)) > 100 AND count(*) > 1) OR count(*) > 6 THEN 'identify' WHEN sum(CAST(l_quantity AS BIGINT)) > 100 THEN 'too_large' ELSE 'ok' END AS state FROM lineitem GROUP BY 1")
