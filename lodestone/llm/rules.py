@@ -93,9 +93,8 @@ def cutoffs(good: DataFrame) -> DataFrame:
     over = [F.count_if(F.expr(f"({score}) > {c}")).alias(f"{rule}_{k}") for rule, (score, grid) in RULES.items() for k, c in enumerate(grid)]
     counts = good.where(~base_failed()).groupBy("stratum").agg(F.count("*").alias("n"), *over)
     tried = [F.struct(F.lit(rule).alias("rule"), F.lit(k).alias("k"), F.lit(float(c)).alias("cutoff"), F.col(f"{rule}_{k}").alias("hits")) for rule, (_, grid) in RULES.items() for k, c in enumerate(grid)]
-    rows = counts.select("stratum", "n", F.inline(F.array(*tried)))
-    strata = counts.agg(F.count("*").alias("strata"))
-    tests = rows.crossJoin(F.broadcast(strata))  # one row
+    counts = counts.withColumn("strata", F.expr("count(*) over (partition by 0)"))  # one row for each stratum
+    tests = counts.select("stratum", "strata", "n", F.inline(F.array(*tried)))
     p = _tail(F.col("n"), F.col("hits"), RISK / len(RULES))
     tests = tests.withColumn("ok", (p <= F.lit(ALPHA / len(RULES)) / F.col("strata")).cast("int"))
     tests = tests.withColumn("so_far", F.expr("min(ok) over (partition by stratum, rule order by k)"))
