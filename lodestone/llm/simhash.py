@@ -107,13 +107,14 @@ def trie_links(a: np.ndarray, b: np.ndarray | None, top: int, spent: int, budget
         am, bm = np.clip(middle(a, alo), alo, ahi), np.clip(middle(b, blo), blo, bhi)
         zero, yes, no = np.zeros_like(err), own, np.zeros_like(own)
         parts = [(alo, am, blo, bm, zero, yes), (am, ahi, bm, bhi, zero, yes), (alo, am, bm, bhi, zero + 1, no), (am, ahi, blo, bm, zero + 1, no)]
+        below = []
         for k, (al, ah, bl, bh, cost, mine) in enumerate(parts):
             # Within one node the right-left pairs are the left-right pairs again.
             keep = (ah > al) & (bh > bl) & (err + cost <= budget) & ~(own if k == 3 else no)
-            if keep.any():
-                child = [x[keep] for x in (al, ah, bl, bh, err + cost, mine)]
-                for at in range(0, len(child[0]), 1 << 18):
-                    todo.append((depth + 1, *(x[at : at + (1 << 18)] for x in child)))
+            below.append([x[keep] for x in (al, ah, bl, bh, err + cost, mine)])
+        child = [np.concatenate(x) for x in zip(*below)]  # one run of pairs a level, cut only to bound memory
+        for at in range(0, len(child[0]), 1 << 18):
+            todo.append((depth + 1, *(x[at : at + (1 << 18)] for x in child)))
 
 
 def hook(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
