@@ -80,7 +80,7 @@ def tag_map(reply: Column) -> Column:
     """map(tag, value) of `<t>v</t>`; of equal tags the later wins."""
     pattern = r"(?s)<([A-Za-z_][\w-]*)>(.*?)</\1>"
     keys, values = (F.regexp_extract_all(reply, F.lit(pattern), F.lit(i)) for i in (1, 2))
-    pairs = F.arrays_zip(keys.alias("k"), F.transform(values, F.trim).alias("v"))
+    pairs = F.arrays_zip(keys.alias("k"), F.transform(values, lambda v: F.trim(v)).alias("v"))
     last = lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda q: q["k"] == p["k"]))
     return F.map_from_entries(_let(pairs, last))
 

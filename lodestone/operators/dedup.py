@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from ..functions import text as T
 
@@ -53,13 +54,13 @@ def _ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio() if a or b else 1.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def patch_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity; 1 where both are empty."""
     return pd.Series([_ratio(x or "", y or "") for x, y in zip(a, b)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def partial_ratio(needle: pd.Series, text: pd.Series) -> pd.Series:
     """0 to 100: the best ratio of the shorter text to a window of the longer of its length."""
 
@@ -76,12 +77,12 @@ def partial_ratio(needle: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(needle, text)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unified_diff(old: pd.Series, new: pd.Series, path: pd.Series) -> pd.Series:
     return pd.Series(["".join(difflib.unified_diff((a or "").splitlines(True), (b or "").splitlines(True), p, p)) for a, b, p in zip(old, new, path)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_overlap(before: pd.Series, text: pd.Series) -> pd.Series:
     """The text without leading lines that the lines before it end with."""
 
