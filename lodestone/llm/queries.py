@@ -73,4 +73,4 @@ QUERIES = {
     for f in (op1_fingerprints, op2_secret_scan, op3_best_fit_packing, op4_chat, op5_token_counts, op6_source_mix, op7_quality_rules, op8_pii, op9_toxicity, op10_simhash)
 }
 #: SQL where it can say the whole query; the others are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {"op4_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op4_chat": chat.ORACLE, "op7_quality_rules": rules.oracle()}

@@ -132,3 +132,31 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     named = docs.join(good_labels(labels), F.col("doc_id") == F.col("_doc")).select(docs["doc_id"], docs["lang"], docs["text"])
     good = counted(named).withColumn("stratum", stratum())
     return judged(counted(docs), settled(cutoffs(good))).where("kept").select("_row.*")
+
+
+def oracle() -> str:
+    """DuckDB SQL for the query's rows: windows by words themselves, binomial tails by log-gamma."""
+    grid = ", ".join(f"('{rule}', {k}, {float(c)})" for rule, (_, cuts) in RULES.items() for k, c in enumerate(cuts))
+    scores = {rule: score.replace("100D", "100.0").replace("CAST(word_chars AS DOUBLE)", "1.0 * word_chars") for rule, (score, _) in RULES.items()}
+    each = " UNION ALL ".join(f"SELECT doc_id, stratum, base_failed, '{rule}' AS rule, CAST({score} AS DOUBLE) AS score FROM m" for rule, score in scores.items())
+    p, alpha = RISK / len(RULES), ALPHA / len(RULES)
+    return f"""
+WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
+x AS (SELECT doc_id, lang, text, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w,
+  list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS l FROM t),
+g AS (SELECT doc_id, i, w[i:i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM x)),
+r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g),
+v AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS q FROM r WHERE c > 1) GROUP BY doc_id),
+c AS (SELECT x.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(v.n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines, length(text) - length(translate(text, '!', '')) AS n_shouts
+  FROM x LEFT JOIN v ON v.doc_id = x.doc_id),
+m AS (SELECT *, coalesce('=' || lang, 'null') AS stratum, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM c),
+s AS ({each}),
+h AS (SELECT stratum, rule, k, cutoff, count(*) AS n, count(*) FILTER (score > cutoff) AS hits
+  FROM s JOIN labels USING (doc_id) JOIN (VALUES {grid}) q(rule, k, cutoff) USING (rule) WHERE quality = 1 AND NOT base_failed GROUP BY ALL),
+b AS (SELECT *, CASE WHEN hits >= n * {p} THEN 1 ELSE list_sum(list_transform(range(0, hits + 1), lambda i: exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) END
+  <= {alpha} / (SELECT count(DISTINCT stratum) FROM h) AS ok FROM h),
+f AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM (SELECT *, min(ok::INT) OVER (PARTITION BY stratum, rule ORDER BY k) AS so_far FROM b) WHERE so_far = 1 GROUP BY ALL),
+z AS (SELECT DISTINCT doc_id FROM s JOIN f USING (stratum, rule) WHERE score > cutoff)
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND z.doc_id IS NULL AS kept FROM m LEFT JOIN z ON z.doc_id = m.doc_id"""
