@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import small
 
 
 def glob_regex(pattern: str) -> str:
@@ -90,9 +91,9 @@ def lines(texts: DataFrame, text: str = "text") -> DataFrame:
 def line_search(texts: DataFrame, needles: DataFrame, text: str = "text", needle: str = "needle") -> DataFrame:
     """Lines that hold a needle, as (texts' columns, needles' columns, line, content).
 
-    Needles are a stated, small query set; each text meets them all by a containment test before its lines are cut."""
+    Needles are a stated query set, broadcast behind a check of its size; each text meets them all by a containment test before its lines are cut."""
     own = [c for c in texts.columns if c != text]
-    hits = texts.join(F.broadcast(needles), F.contains(F.col(text), F.col(needle)))
+    hits = texts.join(small(needles), F.contains(F.col(text), F.col(needle)))
     found = lines(hits, text).where(F.contains("content", F.col(needle)))
     return found.select(*own, *needles.columns, "line", "content")
 

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import small
 from . import dedup, predicates
 
 TOP = 500
@@ -112,7 +113,7 @@ def function_alternatives(blocks: DataFrame, names: DataFrame) -> DataFrame:
 
 def rerank_files(files: DataFrame, patterns: DataFrame) -> DataFrame:
     """(query_id, file_path, score, rank) by the best partial match of a pattern, highest first, then in their order."""
-    rows = files.join(F.broadcast(patterns)).withColumn("score", dedup.partial_ratio("pattern", "file_path"))
+    rows = files.join(small(patterns)).withColumn("score", dedup.partial_ratio("pattern", "file_path"))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")) - 1)
 
 

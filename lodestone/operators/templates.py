@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import small
 from . import dedup
 
 # Tags that templates may hold, and the rules in their order of priority.
@@ -100,7 +101,7 @@ def logic_questions(classes: DataFrame, functions: DataFrame, templates: DataFra
     logic = docs.select(F.create_map(F.lit("Logic"), F.trim(T.first_sentence(F.col("docstring")))).alias("values"), F.array("code").alias("codes"))
     mine = admitted(templates).where(F.array_contains("tags", "Logic") & (F.size("tags") == 1))
     # Templates are a bounded list; each docstring meets them all.
-    return logic.join(F.broadcast(mine)).select("category", "template", filled(F.col("template"), F.col("values")).alias("question"), "codes")
+    return logic.join(small(mine)).select("category", "template", filled(F.col("template"), F.col("values")).alias("question"), "codes")
 
 
 # The five sides of a statement that are asked about.

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import aggregates, budgets, dedup, evaluation, predicates, relations, templates, tree, vectors
+from ..session import small
 from ..sources import files
 
 QUERIES: dict = {}
@@ -108,7 +109,7 @@ _SQUEEZE = "replace(replace(replace({}, ' ', ''), chr(9), ''), chr(10), '')"
 def p08_contains_compact(spark, d):
     docs = table(spark, d, "documents").select("doc_id", T.compact(F.col("text")).alias("t"))
     needles = table(spark, d, "benchmark").select("item_id", T.compact(F.col("text")).alias("needle"))
-    return docs.join(F.broadcast(needles), F.contains("t", F.col("needle"))).select("doc_id", "item_id")
+    return docs.join(small(needles), F.contains("t", F.col("needle"))).select("doc_id", "item_id")
 
 
 @query("""
@@ -162,15 +163,17 @@ def d02_dedup_by_items(spark, d):
 
 
 @query("""
-WITH old AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 7 <> 0),
-new AS (SELECT doc_id, md5(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0)
+WITH old AS (SELECT doc_id, md5(text) AS h FROM documents),
+new AS (SELECT doc_id, md5(CASE WHEN lang = 'de' THEN text || '!' ELSE text END) AS h FROM documents WHERE lang <> 'fr' UNION ALL SELECT -1 - item_id, md5(text) FROM benchmark)
 SELECT doc_id, CASE WHEN o.h IS NULL THEN 'insert' WHEN n.h IS NULL THEN 'delete' ELSE 'update' END AS action
 FROM old o FULL JOIN new n USING (doc_id) WHERE o.h IS DISTINCT FROM n.h""")
 def d04_ingestion(spark, d):
+    """A new version of the corpus: German texts edited, French ones gone, the benchmark's items added."""
     docs = table(spark, d, "documents")
-    changed = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    old = docs.where("doc_id % 7 <> 0").select("doc_id", F.md5("text").alias("hash"))
-    return dedup.ingestion(old, docs.where("doc_id % 11 <> 0").select("doc_id", F.md5(changed).alias("hash")))
+    edited = F.when(F.col("lang") == "de", F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    kept = docs.where("lang <> 'fr'").select("doc_id", F.md5(edited).alias("hash"))
+    added = table(spark, d, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), F.md5("text").alias("hash"))
+    return dedup.ingestion(docs.select("doc_id", F.md5("text").alias("hash")), kept.union(added))
 
 
 @query("""
@@ -178,7 +181,7 @@ WITH w AS (SELECT item_id, list_distinct(string_split(text, ' ')) AS w FROM benc
 SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)), 6) AS jaccard FROM w a, w b WHERE a.item_id < b.item_id""")
 def d06_jaccard(spark, d):
     w = table(spark, d, "benchmark").select("item_id", F.split("text", " ").alias("w"))
-    pairs = w.select(F.col("item_id").alias("a"), F.col("w").alias("x")).join(F.broadcast(w.select(F.col("item_id").alias("b"), F.col("w").alias("y"))), F.col("a") < F.col("b"))
+    pairs = w.select(F.col("item_id").alias("a"), F.col("w").alias("x")).join(small(w.select(F.col("item_id").alias("b"), F.col("w").alias("y"))), F.col("a") < F.col("b"))
     return pairs.select("a", "b", F.round(dedup.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
 
 
@@ -499,9 +502,9 @@ def t03_questions(spark, d):
     return templates.questions(asked_, things).select("category", "rule", "question")
 
 
-@query("SELECT page_id, regexp_extract_all(html, '<([^>]+)>', 1)[1:5] AS tags FROM pages")
+@query("SELECT page_id, regexp_extract_all(html, '<([^>]+)>', 1) AS tags FROM pages")
 def t01_tags(spark, d):
-    return table(spark, d, "pages").select("page_id", F.slice(templates.tags(F.col("html")), 1, 5).alias("tags"))
+    return table(spark, d, "pages").select("page_id", templates.tags(F.col("html")).alias("tags"))
 
 
 @query("""

@@ -29,3 +29,14 @@ def settled(df):
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+#: Most rows of a side that is sent to all executors.
+SMALL = 100_000
+
+
+def small(df, most: int = SMALL):
+    """df marked for broadcast if it has at most `most` rows, counted no further; else as it is, for Spark's own choice."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
