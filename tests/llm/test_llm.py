@@ -467,3 +467,30 @@ def test_stages_take_odd_rows(spark, docs, empty, k):
     stage = corpus_pipeline.STAGES[k][1]
     assert stage(spark, empty, SF).count() == 0
     assert stage(spark, docs, SF).count() >= 0
+
+
+def test_empty_and_odd_rows_elsewhere(spark, docs, empty):
+    assert fingerprint.edits(empty).count() == 0 and fingerprint.fingerprints(empty).count() == 0
+    assert fingerprint.fingerprints(clashing(docs)).columns == [*clashing(docs).columns, "fingerprint"]
+    r = random.Random(12)
+    filler = lambda: " ".join(r.choices(["one", "fine", "day", "what", "they", "are", "so", "then"], k=r.randint(1, 5)))
+    crf = toxicity.fitted([f"{filler()} idiot {filler()}" if i % 2 else f"{filler()} {filler()}" for i in range(120)], [i % 2 for i in range(120)])
+    got = toxicity.scored(clashing(docs).unionByName(spark.createDataFrame([(77, "what an idiot they are", None, None, 3)], DOCS), allowMissingColumns=True), crf).collect()
+    assert len(got) == docs.count() + 1
+    (bad,) = [r for r in got if r["doc_id"] == 77]
+    assert bad["score"] > 0.7 and bad["spans"].startswith("8:13:") and all(r["score"] < 0.7 for r in got if r["doc_id"] != 77)
+    rows = secrets.digest(secrets.spans(clashing(docs))).collect()
+    assert len(rows) == docs.count()
+
+
+def test_rules_equal_their_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = queries.op7_quality_rules(spark, SF)
+    columns = sorted(df.columns)
+    want = con.sql(queries.ORACLES["op7_quality_rules"])
+    at = [want.columns.index(c) for c in columns]
+    assert sorted(tuple(r) for r in df.select(*columns).collect()) == sorted(tuple(r[i] for i in at) for r in want.fetchall())
