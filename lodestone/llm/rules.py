@@ -23,6 +23,8 @@ from .shared import settled
 
 RISK = 0.02
 ALPHA = 0.05
+#: Most accepted cutoffs that are broadcast.
+MOST_CUTOFFS = 50_000
 MIN_WORDS = 50
 MOST_REPEATED = 50  # percent of words
 #: Score of each rule, and its candidate cutoffs from lenient to strict.
@@ -67,7 +69,9 @@ def counted(docs: DataFrame) -> DataFrame:
     symbols = F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))
     shouts = F.length("t") - F.length(F.translate("t", "!", ""))
     columns = {"n_words": F.col("w.n_words"), "word_chars": F.col("w.word_chars"), "n_symbols": symbols, "n_dup_lines": F.col("l.n_dup_lines"), "n_repeat_words": F.col("w.n_repeat_words"), "n_lines": F.col("l.n_lines"), "n_shouts": shouts}
-    return rows.select("_row", *[c.cast("long").alias(k) for k, c in columns.items()])
+    # Out of a one-element array: a later filter on counts stays above it, so each count is worked out once.
+    counts = F.array(F.struct(*[c.cast("long").alias(k) for k, c in columns.items()]))
+    return rows.select("_row", F.inline(counts))
 
 
 def base_failed() -> Column:
@@ -108,6 +112,8 @@ def stratum(lang: str = "_row.lang") -> Column:
 def judged(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Counted rows with base_failed and kept."""
     wide = found.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_{r}") for r in RULES])
+    # A row for each stratum: sent to all tasks as long as strata are few, else Spark's own choice of join.
+    wide = F.broadcast(wide) if found.count() <= MOST_CUTOFFS else wide
     rows = rows.withColumn("stratum", stratum()).join(wide, "stratum", "left")
     bad = F.lit(False)
     for rule, (score, _) in RULES.items():
@@ -128,9 +134,10 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that stay. Cutoffs first, from the labelled rows alone; then one pass over all texts."""
-    named = docs.join(good_labels(labels), F.col("doc_id") == F.col("_doc")).select(docs["doc_id"], docs["lang"], docs["text"])
-    good = counted(named).withColumn("stratum", stratum())
+    """The rows of docs that stay. Counts of all texts meet the labels for the cutoffs; a second pass over the texts
+    applies them. So no text is moved by key, at any size."""
+    counts = counted(docs.select("doc_id", "lang", "text")).withColumn("_row", F.struct("_row.doc_id", "_row.lang"))
+    good = counts.join(good_labels(labels), F.col("_row.doc_id") == F.col("_doc")).withColumn("stratum", stratum())
     return judged(counted(docs), settled(cutoffs(good))).where("kept").select("_row.*")
 
 
