@@ -14,7 +14,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline
-from lodestone.llm import chat, fingerprint, mixing, packing, pii, queries, rules, secrets, simhash, tokencount, toxicity, wordbpe
+from lodestone.llm import chat, fingerprint, mixing, nearcopies, packing, pii, queries, rules, secrets, simhash, tokencount, toxicity, wordbpe
 
 SF = "/root/testdata/sf0.001"
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -447,6 +447,52 @@ def test_long_chains_join(spark):
     assert got == {i: 0 for i in range(n + 1)} | {1000: 1000, 2000: 1000}
 
 
+# --- near copies
+
+
+def brute_near_copies(rows):
+    def shingles(text):
+        w = (text or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    own = [shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(own[i] & own[j])
+            if 5 * both >= 4 * (len(own[i]) + len(own[j]) - both) and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    left = {}
+    for (i, t), k in zip(rows, label):
+        row = (i is None, i or 0, t or "")
+        left[k] = min(left.get(k, row), row, key=lambda r: r[:2])
+    return left
+
+
+def test_near_copies_by_brute_force(spark):
+    import corpus_pipeline
+
+    r = random.Random(5)
+    rows = []
+    for g in range(14):
+        base = [f"w{r.randrange(4000)}" for _ in range(r.choice([30, 120, 400]))]
+        for _ in range(8 if g else 60):
+            w = list(base)
+            for _ in range(r.randrange(1 + len(w) // 40)):
+                w[r.randrange(len(w))] = f"x{r.randrange(4000)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(i, t) for i, t in [(900, ""), (901, None), (902, "Two words"), (903, "two  WORDS"), (None, rows[0][1]), (None, "only here"), (None, "Only here"), (904, " ")]]
+    rows += [rows[3], (5, "another text of a repeated id that is not like the rest of its group")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute_near_copies(rows)
+    got = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert len(got) == len(want) < len(rows) / 2
+    named = sorted(x["doc_id"] for x in got if x["doc_id"] is not None)
+    assert named == sorted(i for none, i, _ in want.values() if not none)
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
 # --- pipeline
 
 
