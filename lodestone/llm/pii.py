@@ -43,7 +43,7 @@ _FIND = re.compile(
     |(?P<iso>(?<![\w-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\w-]))
     |(?P<day>(?<![\w/.-])[0-9]{1,2}(?P<mark>[/.-])[0-9]{1,2}(?P=mark)[0-9]{4}(?![\w/-]))
     |(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
-    |(?P<card>(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))
+    |(?P<card>(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?!\w|-(?![0-9])))
     |(?P<phone>(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![\w-])|(?<![\w.])\+[0-9]{10,15}(?![\w]))""",
     re.X | re.A,
 )
@@ -201,19 +201,35 @@ def pseudonym(kind: str, value: str, f: Feistel, back: bool = False) -> str | No
     raise ValueError(kind)
 
 
+#: Characters of the shortest value of kinds whose match can run on into what follows, such as a card's expiry date.
+_LEAST = {"card": 13, "iban": 15}
+
+
+def _shorter(kind: str, value: str) -> Iterator[int]:
+    """Ends of the value's groups before its last one, the longest first, down to the kind's shortest value."""
+    for at in range(len(value) - 1, 0, -1):
+        if value[at] in " -" and sum(c not in " -" for c in value[:at]) >= _LEAST[kind]:
+            yield at
+
+
 def found(text: str, f: Feistel) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, pseudonym) of every valid value, left to right."""
     out, at = [], 0
     while m := _FIND.search(text, at):
         kind = m.lastgroup if m.lastgroup != "mark" else "day"
-        new = pseudonym(kind, m[0], f)
+        end, new = m.end(), pseudonym(kind, m[0], f)
+        if new is None and kind in _LEAST:
+            for size in _shorter(kind, m[0]):
+                if (new := pseudonym(kind, m[0][:size], f)) is not None:
+                    end = m.start() + size
+                    break
         if new is None and kind == "card" and (p := _FIND_PHONE.match(text, m.start())):
-            m, kind, new = p, "phone", pseudonym("phone", p[0], f)
+            m, end, kind, new = p, p.end(), "phone", pseudonym("phone", p[0], f)
         if new is None:
             at = m.start() + max(1, len(re.match(r"\w*", m[0], re.A)[0]))
             continue
-        out.append((kind, m.start(), m.end(), new))
-        at = m.end()
+        out.append((kind, m.start(), end, new))
+        at = end
     return out
 
 

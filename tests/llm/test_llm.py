@@ -359,6 +359,20 @@ def test_pseudonyms_in_texts(spark, docs, empty):
     assert pii.pseudonymised(empty).count() == 0
 
 
+@pytest.mark.parametrize("card", ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "378282246310005"])
+@pytest.mark.parametrize("after", [" 123", "-123", " 12/27", "-12/27", " 12", " 12 345", "-12345", " 1234 5678"])
+def test_cards_before_short_numbers(card, after):
+    f = pii.Feistel()
+    assert pii.replaced(f"card {card}{after} paid", f)[0].startswith(f"card {pii.pseudonym('card', card, f)}{after[0]}")
+    assert [x[0] for x in pii.found(f"{card}{after}", f)][0] == "card"
+
+
+def test_ibans_before_short_words():
+    f = pii.Feistel()
+    for iban in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00"):
+        assert pii.replaced(f"to {iban} BIC X", f) == (f"to {pii.pseudonym('iban', iban, f)} BIC X", 1)
+
+
 # --- 9
 
 
