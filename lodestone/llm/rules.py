@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settled
+from .shared import settled, stored
 
 RISK = 0.02
 ALPHA = 0.05
@@ -134,11 +134,11 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that stay. Counts of all texts meet the labels for the cutoffs; a second pass over the texts
-    applies them. So no text is moved by key, at any size."""
-    counts = counted(docs.select("doc_id", "lang", "text")).withColumn("_row", F.struct("_row.doc_id", "_row.lang"))
-    good = counts.join(good_labels(labels), F.col("_row.doc_id") == F.col("_doc")).withColumn("stratum", stratum())
-    return judged(counted(docs), settled(cutoffs(good))).where("kept").select("_row.*")
+    """The rows of docs that stay. Rows and their counts are written once, to the shared folder; labels meet the counts'
+    columns alone, so no text is moved by key, at any size, or counted twice."""
+    rows = stored(counted(docs))
+    good = rows.withColumn("_row", F.struct("_row.doc_id", "_row.lang")).join(good_labels(labels), F.col("_row.doc_id") == F.col("_doc"))
+    return judged(rows, settled(cutoffs(good.withColumn("stratum", stratum())))).where("kept").select("_row.*")
 
 
 def oracle() -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,10 +17,14 @@ SLICE_BYTES = 6 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a folder of our own only where none is set."""
+    """The shared folder that the session names. Only a local session without one gets a temporary folder; a cluster
+    must name it, since its executors don't see the driver's disk."""
     sc = spark.sparkContext
     if (at := sc.getCheckpointDir()) is None:
-        at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-checkpoint-")
+        if (at := spark.conf.get("spark.checkpoint.dir", None)) is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            at = tempfile.mkdtemp(prefix="lodestone-checkpoint-")
         sc.setCheckpointDir(at)
     return at
 
@@ -30,6 +35,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared checkpoint folder, for what is read by columns; the folder's owner empties it."""
+    at = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -554,3 +554,38 @@ def test_rules_equal_their_sql(spark):
     want = con.sql(queries.ORACLES["op7_quality_rules"])
     at = [want.columns.index(c) for c in columns]
     assert sorted(tuple(r) for r in df.select(*columns).collect()) == sorted(tuple(r[i] for i in at) for r in want.fetchall())
+
+
+def test_parity_sketches_lose_no_link():
+    r = np.random.default_rng(4)
+    for n in (1, 2, 5, 33, 64, 65, 200, 1500):
+        for change in (0, 0.02, 0.1, 0.12, 0.3, 1):
+            s = np.unique(r.integers(0, 1 << 51, n).astype(np.uint64))
+            t = np.unique(np.concatenate([s[: round(n * (1 - change))], r.integers(0, 1 << 51, round(n * change)).astype(np.uint64)]))
+            if not len(t):
+                continue
+            shared = len(np.intersect1d(s, t))
+            want = 9 * shared >= 4 * (len(s) + len(t))
+            assert nearcopies.linked(s, t) == want
+            may = nearcopies.may_link(nearcopies.sketch(s), len(s), nearcopies.sketch(t), len(t))
+            assert may or not want
+            if change == 1 and n > 64:
+                assert not may
+
+
+def test_large_groups_of_near_copies_are_dealt_in_blocks(spark, monkeypatch):
+    """Values that many texts have, in small blocks, give the components of brute force."""
+    monkeypatch.setattr(nearcopies, "BLOCK", 8)
+    monkeypatch.setattr(nearcopies, "PIVOTS", 1)
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(60)] = f"x{r.randrange(40)}"
+        rows.append((i, " ".join(w), "en", "a", 0))
+    rows += [(90 + i, " ".join(r.choices(base, k=50)), "en", "a", 0) for i in range(10)]
+    got = nearcopies.representatives(spark.createDataFrame(rows, DOCS)).collect()
+    want = brute_near_copies([x[:2] for x in rows])
+    assert sorted(x["doc_id"] for x in got) == sorted(i for _, i, _ in want.values()) and 1 < len(got) < 60
