@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType
 
-from .shared import slices, widened
+from .shared import released, slices, widened
 
 KEY = b"lodestone pseudonyms, example key"
 ROUNDS = 10
@@ -268,4 +268,4 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY, count: str | None = None) -
                     columns[count] = pa.array([n for _, n in new], pa.int64())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settled, slices, strings
+from .shared import released, settled, slices, strings
 
 FDR = 0.01
 LEAST = 16
@@ -138,7 +138,7 @@ def scanned(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "base", "runs"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {_SCANNED}")
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, {_SCANNED}")
 
 
 def thresholds(histogram: dict[tuple[str, int], int], rate: float = FDR) -> dict[str, int]:

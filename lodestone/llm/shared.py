@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +61,20 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         at = end
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and after each partition free memory given back: workers idle between tasks, and allocators keep what they had."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+                trim(0)
+
+    return whole
+
+
 def strings(column: pa.Array) -> pa.Array:
     """Texts with large offsets and no nulls (null: empty)."""
     return pc.fill_null(column.cast(pa.large_string()), "")
