@@ -1,13 +1,16 @@
 """Quality rules with risk-controlled thresholds; DataFrame functions only.
 
 Base counts per document; a document fails the base rules with fewer than 50 words, or with over half of its words in
-3-word windows that occur twice or more. Beyond these, each rule scores documents (higher is worse) and rejects above a
-cutoff. Cutoffs come from a labelled holdout (quality 1 and not failed by the base rules), for each stratum (lang):
-- candidates are fixed before any data are seen, and tried from the most lenient on (fixed-sequence testing);
-- a cutoff is accepted while the exact binomial test rejects "this rule falsely rejects more than RISK / rules of good
-  documents": P(Bin(n, RISK / rules) <= k) <= ALPHA / (rules * strata), a Bonferroni correction over rules and strata.
-So with probability 1 - ALPHA at most RISK of a stratum's good documents are rejected beyond the base rules, in all
-strata at once. A stratum with too few labels gets no cutoff, and rejects nothing beyond the base rules.
+3-word windows that occur twice or more. Beyond these, each rule scores documents (higher is worse). The rules' cutoffs
+form one ladder: rung k holds the k-th cutoff of every rule, from lenient to strict, and rejects a document that is above
+any of them. A labelled holdout (quality 1 and not failed by the base rules) chooses the rung, for each stratum (lang) and
+for all strata together:
+- rungs are fixed before any data are seen, and tried from the most lenient on (fixed-sequence testing);
+- a rung is accepted while the exact binomial test rejects "it falsely rejects more than `risk` of good documents":
+  P(Bin(n, risk) <= hits) <= alpha / (strata + 1), a Bonferroni correction over the strata and the pooled one.
+So with probability 1 - alpha, in all strata at once, at most `risk` of a stratum's good documents are rejected beyond the
+base rules. A stratum with too few labels for a rung of its own takes the pooled one, whose bound then holds for good
+documents of all strata together; without that it rejects nothing beyond the base rules.
 
 Windows are compared by 64-bit hashes within one document. Defined results: null text has no words and fails; null lang
 is a stratum of its own; labels that are null, or that name no document, are not used; a doc_id labelled twice counts
@@ -21,20 +24,23 @@ from pyspark.sql import functions as F
 
 from .shared import settled, stored
 
-RISK = 0.02
+RISK = 0.025
 ALPHA = 0.05
-#: Most accepted cutoffs that are broadcast.
-MOST_CUTOFFS = 50_000
+#: Most strata whose rungs are broadcast.
+MOST_STRATA = 50_000
+#: The name of all strata together; a language's stratum begins with "=".
+EVERY = "every"
 MIN_WORDS = 50
 MOST_REPEATED = 50  # percent of words
-#: Score of each rule, and its candidate cutoffs from lenient to strict.
+#: Score of each rule, and its cutoffs from lenient to strict: one for each rung.
 RULES: dict[str, tuple[str, tuple[float, ...]]] = {
-    "repeated_words": ("100D * n_repeat_words / greatest(n_words, 1)", (45, 40, 35, 30, 25, 20, 15, 10)),
-    "symbols": ("100D * n_symbols / greatest(word_chars, 1)", (40, 30, 20, 15, 10, 8, 6, 5, 4, 3, 2)),
-    "duplicate_lines": ("100D * n_dup_lines / greatest(n_lines, 1)", (90, 80, 70, 60, 50, 40, 30, 20, 10)),
-    "long_words": ("CAST(word_chars AS DOUBLE) / greatest(n_words, 1)", (40, 30, 25, 20, 16, 14, 12, 11, 10)),
-    "shouting": ("100D * n_shouts / greatest(n_words, 1)", (90, 75, 60, 45, 30, 20, 10, 5)),
+    "repeated_words": ("100D * n_repeat_words / greatest(n_words, 1)", (45, 40, 35, 30, 27, 24, 22, 20, 18, 15)),
+    "symbols": ("100D * n_symbols / greatest(word_chars, 1)", (40, 30, 20, 15, 10, 8, 6, 4, 3, 2)),
+    "duplicate_lines": ("100D * n_dup_lines / greatest(n_lines, 1)", (90, 80, 70, 60, 50, 45, 40, 35, 30, 25)),
+    "long_words": ("CAST(word_chars AS DOUBLE) / greatest(n_words, 1)", (40, 30, 25, 20, 16, 14, 12, 10, 9, 8)),
+    "shouting": ("100D * n_shouts / greatest(n_words, 1)", (90, 75, 60, 45, 30, 20, 15, 10, 7, 5)),
 }
+RUNGS = 10
 _SPACE = r"[\x20\x09-\x0D]"
 
 
@@ -92,17 +98,23 @@ def _tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.aggregate(steps, first, step)["sum"])
 
 
-def cutoffs(good: DataFrame) -> DataFrame:
-    """(stratum, rule, cutoff) from counts of good labelled documents with their `stratum`; only accepted cutoffs."""
-    over = [F.count_if(F.expr(f"({score}) > {c}")).alias(f"{rule}_{k}") for rule, (score, grid) in RULES.items() for k, c in enumerate(grid)]
-    counts = good.where(~base_failed()).groupBy("stratum").agg(F.count("*").alias("n"), *over)
-    tried = [F.struct(F.lit(rule).alias("rule"), F.lit(k).alias("k"), F.lit(float(c)).alias("cutoff"), F.col(f"{rule}_{k}").alias("hits")) for rule, (_, grid) in RULES.items() for k, c in enumerate(grid)]
+def rung() -> Column:
+    """The first rung that rejects a row by its counts; RUNGS if none does."""
+    return F.least(*[sum((F.expr(f"int(({score}) <= {c})") for c in grid), F.lit(0)) for score, grid in RULES.values()])
+
+
+def cutoffs(good: DataFrame, risk: float = RISK, alpha: float = ALPHA) -> DataFrame:
+    """(stratum, rung: the strictest accepted) from counts of good labelled documents with their `stratum`; strata without
+    one are left out."""
+    rows = good.where(~base_failed()).select("stratum", rung().alias("_rung"))
+    rows = rows.select(F.explode(F.array("stratum", F.lit(EVERY))).alias("stratum"), "_rung")
+    hits = F.array(*[F.struct(F.lit(k).alias("k"), F.count_if(F.col("_rung") <= k).alias("hits")) for k in range(RUNGS)])
+    counts = rows.groupBy("stratum").agg(F.count("*").alias("n"), hits.alias("tried"))
     counts = counts.withColumn("strata", F.expr("count(*) over (partition by 0)"))  # one row for each stratum
-    tests = counts.select("stratum", "strata", "n", F.inline(F.array(*tried)))
-    p = _tail(F.col("n"), F.col("hits"), RISK / len(RULES))
-    tests = tests.withColumn("ok", (p <= F.lit(ALPHA / len(RULES)) / F.col("strata")).cast("int"))
-    tests = tests.withColumn("so_far", F.expr("min(ok) over (partition by stratum, rule order by k)"))
-    return tests.where("so_far = 1").groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    tests = counts.select("stratum", "strata", "n", F.inline("tried"))
+    tests = tests.withColumn("ok", (_tail(F.col("n"), F.col("hits"), risk) <= F.lit(alpha) / F.col("strata")).cast("int"))
+    tests = tests.withColumn("so_far", F.expr("min(ok) over (partition by stratum order by k)"))
+    return tests.where("so_far = 1").groupBy("stratum").agg(F.max("k").alias("rung"))
 
 
 def stratum(lang: str = "_row.lang") -> Column:
@@ -111,42 +123,39 @@ def stratum(lang: str = "_row.lang") -> Column:
 
 def judged(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Counted rows with base_failed and kept."""
-    wide = found.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_{r}") for r in RULES])
+    pooled = found.where(F.col("stratum") == EVERY).first()
+    own = found.where(F.col("stratum") != EVERY).withColumnRenamed("rung", "_accepted")
     # A row for each stratum: sent to all tasks as long as strata are few, else Spark's own choice of join.
-    wide = F.broadcast(wide) if found.count() <= MOST_CUTOFFS else wide
-    rows = rows.withColumn("stratum", stratum()).join(wide, "stratum", "left")
-    bad = F.lit(False)
-    for rule, (score, _) in RULES.items():
-        bad = bad | F.coalesce(F.expr(f"({score}) > _{rule}"), F.lit(False))
+    own = F.broadcast(own) if own.limit(MOST_STRATA + 1).count() <= MOST_STRATA else own
+    rows = rows.withColumn("stratum", stratum()).join(own, "stratum", "left")
+    accepted = F.coalesce("_accepted", F.lit(pooled["rung"] if pooled else -1))
     rows = rows.withColumn("base_failed", base_failed())
-    return rows.withColumn("kept", ~F.col("base_failed") & ~bad).drop("stratum", *[f"_{r}" for r in RULES])
+    return rows.withColumn("kept", ~F.col("base_failed") & (rung() > accepted)).drop("stratum", "_accepted")
 
 
 def good_labels(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_doc"))
 
 
-def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def verdicts(docs: DataFrame, labels: DataFrame, risk: float = RISK, alpha: float = ALPHA) -> DataFrame:
     """doc_id, the base counts, base_failed and kept for every row of docs; counted once, kept in the shared folder."""
     rows = settled(counted(docs.select("doc_id", "lang", "text")).withColumn("_row", F.struct("_row.doc_id", "_row.lang")))
     good = rows.join(good_labels(labels), F.col("_row.doc_id") == F.col("_doc")).withColumn("stratum", stratum())
-    return judged(rows, settled(cutoffs(good))).select("_row.doc_id", "*").drop("_row", "n_lines", "n_shouts")
+    return judged(rows, settled(cutoffs(good, risk, alpha))).select("_row.doc_id", "*").drop("_row", "n_lines", "n_shouts")
 
 
-def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def kept(docs: DataFrame, labels: DataFrame, risk: float = RISK, alpha: float = ALPHA) -> DataFrame:
     """The rows of docs that stay. Rows and their counts are written once, to the shared folder; labels meet the counts'
     columns alone, so no text is moved by key, at any size, or counted twice."""
     rows = stored(counted(docs))
     good = rows.withColumn("_row", F.struct("_row.doc_id", "_row.lang")).join(good_labels(labels), F.col("_row.doc_id") == F.col("_doc"))
-    return judged(rows, settled(cutoffs(good.withColumn("stratum", stratum())))).where("kept").select("_row.*")
+    return judged(rows, settled(cutoffs(good.withColumn("stratum", stratum()), risk, alpha))).where("kept").select("_row.*")
 
 
-def oracle() -> str:
+def oracle(risk: float = RISK, alpha: float = ALPHA) -> str:
     """DuckDB SQL for the query's rows: windows by words themselves, binomial tails by log-gamma."""
-    grid = ", ".join(f"('{rule}', {k}, {float(c)})" for rule, (_, cuts) in RULES.items() for k, c in enumerate(cuts))
-    scores = {rule: score.replace("100D", "100.0").replace("CAST(word_chars AS DOUBLE)", "1.0 * word_chars") for rule, (score, _) in RULES.items()}
-    each = " UNION ALL ".join(f"SELECT doc_id, stratum, base_failed, '{rule}' AS rule, CAST({score} AS DOUBLE) AS score FROM m" for rule, score in scores.items())
-    p, alpha = RISK / len(RULES), ALPHA / len(RULES)
+    scores = [(score.replace("100D", "100.0").replace("CAST(word_chars AS DOUBLE)", "1.0 * word_chars"), grid) for score, grid in RULES.values()]
+    rungs = ", ".join("(" + " + ".join(f"CAST(CAST({score} AS DOUBLE) <= {c} AS INT)" for c in grid) + ")" for score, grid in scores)
     return f"""
 WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
 x AS (SELECT doc_id, lang, text, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w,
@@ -158,12 +167,11 @@ c AS (SELECT x.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(arra
   CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(v.n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines, length(text) - length(translate(text, '!', '')) AS n_shouts
   FROM x LEFT JOIN v ON v.doc_id = x.doc_id),
-m AS (SELECT *, coalesce('=' || lang, 'null') AS stratum, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM c),
-s AS ({each}),
-h AS (SELECT stratum, rule, k, cutoff, count(*) AS n, count(*) FILTER (score > cutoff) AS hits
-  FROM s JOIN labels USING (doc_id) JOIN (VALUES {grid}) q(rule, k, cutoff) USING (rule) WHERE quality = 1 AND NOT base_failed GROUP BY ALL),
-b AS (SELECT *, CASE WHEN hits >= n * {p} THEN 1 ELSE list_sum(list_transform(range(0, hits + 1), lambda i: exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) END
+m AS (SELECT *, coalesce('=' || lang, 'null') AS stratum, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed, least({rungs}) AS rung FROM c),
+s AS (SELECT unnest([stratum, '{EVERY}']) AS stratum, rung FROM m JOIN labels USING (doc_id) WHERE quality = 1 AND NOT base_failed),
+h AS (SELECT stratum, k, count(*) AS n, count(*) FILTER (rung <= k) AS hits FROM s, range({RUNGS}) q(k) GROUP BY ALL),
+b AS (SELECT *, CASE WHEN hits >= n * {risk} THEN 1 ELSE list_sum(list_transform(range(0, hits + 1), lambda i: exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - lgamma(n - i + 1) + i * ln({risk}) + (n - i) * ln(1 - {risk})))) END
   <= {alpha} / (SELECT count(DISTINCT stratum) FROM h) AS ok FROM h),
-f AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM (SELECT *, min(ok::INT) OVER (PARTITION BY stratum, rule ORDER BY k) AS so_far FROM b) WHERE so_far = 1 GROUP BY ALL),
-z AS (SELECT DISTINCT doc_id FROM s JOIN f USING (stratum, rule) WHERE score > cutoff)
-SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND z.doc_id IS NULL AS kept FROM m LEFT JOIN z ON z.doc_id = m.doc_id"""
+f AS (SELECT stratum, max(k) AS accepted FROM (SELECT *, min(ok::INT) OVER (PARTITION BY stratum ORDER BY k) AS so_far FROM b) WHERE so_far = 1 GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND rung > coalesce(f.accepted, (SELECT accepted FROM f WHERE stratum = '{EVERY}'), -1) AS kept FROM m LEFT JOIN f ON f.stratum = m.stratum"""
