@@ -10,8 +10,15 @@ A format's numbers 0 .. size-1 are split as evenly as their factors allow: x = l
 a * b = size; rounds add the other half's keyed hash modulo a or b in turn. Check digits are worked out anew.
 
 Kinds, in this order where spans overlap: e-mail addresses (letters and digits before the last dot permuted in place),
-IBANs, cards (13 to 19 digits, Luhn), IPv4 addresses, ISO and day/month or month/day dates of four-digit years, US
-social-security numbers, phone numbers (with +, or brackets, or separators, 10 to 15 digits). Spans are code points.
+IBANs (of their country's length), cards (13 to 19 digits, Luhn), IPv4 addresses (not after "version" or the like), ISO and
+day/month or month/day dates of four-digit years, US social-security numbers, phone numbers (with +, or brackets, or
+separators, 10 to 15 digits). Spans are code points.
+
+All dates are permuted alike, on along the permutation's cycle until the new date can be written in the old one's form: as
+many characters in each place, and day first still seen to be day first. So a date keeps its pseudonym in all documents and
+forms that set no such condition (ISO, or two characters each for day and month), and in all texts of one form otherwise.
+
+The key is the caller's: it is a parameter without a default, and whoever has it can turn pseudonyms back.
 
 Defined results: null text stays null; a text without such values stays as it is, byte for byte; other columns pass
 through; repeated rows change alike.
@@ -31,7 +38,6 @@ from pyspark.sql.types import LongType
 
 from .shared import released, slices, widened
 
-KEY = b"lodestone pseudonyms, example key"
 ROUNDS = 10
 _FIRST = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2099, 12, 31).toordinal() - _FIRST + 1
@@ -63,7 +69,7 @@ def _halves(size: int) -> tuple[int, int]:
 class Feistel:
     """Keyed permutations of the numbers below any product of two factors."""
 
-    def __init__(self, key: bytes = KEY, rounds: int = ROUNDS):
+    def __init__(self, key: bytes, rounds: int = ROUNDS):
         self.key, self.rounds = key, rounds
 
     def _value(self, tweak: str, turn: int, half: int) -> int:
@@ -136,12 +142,18 @@ def _by_class(f: Feistel, text: str, tweak: str, back: bool) -> str:
     return text
 
 
-def _date(f: Feistel, y: int, m: int, d: int, tweak: str, back: bool) -> datetime.date | None:
+def _date(f: Feistel, y: int, m: int, d: int, fits: Callable[[datetime.date], bool], back: bool) -> datetime.date | None:
+    """The next date of the permutation's cycle that fits the form, which is a permutation of the dates that fit."""
     try:
         date = datetime.date(y, m, d)
     except ValueError:
         return None
-    return f.days(date, tweak, back) if _FIRST <= date.toordinal() < _FIRST + _DAYS else None
+    if not _FIRST <= date.toordinal() < _FIRST + _DAYS:
+        return None
+    date = f.days(date, "date", back)
+    while not fits(date):
+        date = f.days(date, "date", back)
+    return date
 
 
 def pseudonym(kind: str, value: str, f: Feistel, back: bool = False) -> str | None:
@@ -169,20 +181,24 @@ def pseudonym(kind: str, value: str, f: Feistel, back: bool = False) -> str | No
         x = int.from_bytes(bytes(octets), "big")
         return ".".join(map(str, f.permute(x, 1 << 16, 1 << 16, "ipv4", back).to_bytes(4, "big")))
     if kind == "iso":
-        new = _date(f, *map(int, value.split("-")), "date", back)
+        new = _date(f, *map(int, value.split("-")), lambda date: True, back)
         return new and new.isoformat()
     if kind == "day":
         mark = next(c for c in value if c in "/.-")
-        p, q, y = map(int, value.split(mark))
-        month_first = mark == "/" and p <= 12
-        tweak = f"day{mark}{month_first}"
-        new = _date(f, y, *((p, q) if month_first else (q, p)), tweak, back)
-        if new is None:
+        p, q, y = value.split(mark)
+        month_first = mark == "/" and int(p) <= 12
+        order = (lambda date: (date.month, date.day)) if month_first else (lambda date: (date.day, date.month))
+
+        def fits(date: datetime.date) -> bool:
+            one, two = order(date)
+            # One character holds no number above 9, and a first number up to 12 would read as a month.
+            return (len(p) == 2 or one < 10) and (len(q) == 2 or two < 10) and (mark != "/" or month_first or one > 12)
+
+        m, d = (int(p), int(q)) if month_first else (int(q), int(p))
+        if (new := _date(f, int(y), m, d, fits, back)) is None:
             return None
-        while mark == "/" and not month_first and new.day <= 12:  # on along the cycle, until it reads day first again
-            new = f.days(new, tweak, back)
-        p, q = (new.month, new.day) if month_first else (new.day, new.month)
-        return f"{p:02d}{mark}{q:02d}{mark}{new.year:04d}"
+        one, two = order(new)
+        return f"{one:0{len(p)}d}{mark}{two:0{len(q)}d}{mark}{new.year:04d}"
     if kind == "ssn":
         if only[:3] in ("000", "666") or only[0] == "9" or only[3:5] == "00" or only[5:] == "0000":
             return None
@@ -201,32 +217,44 @@ def pseudonym(kind: str, value: str, f: Feistel, back: bool = False) -> str | No
     raise ValueError(kind)
 
 
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18,
+    "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19,
+    "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 #: Characters of the shortest value of kinds whose match can run on into what follows, such as a card's expiry date.
 _LEAST = {"card": 13, "iban": 15}
+#: What stands before a release number that looks like an address.
+_RELEASE = re.compile(r"(?:\b(?:version|release|build|rev|ver)s?|(?<![A-Za-z])v)\.?[ :=]{0,2}\Z", re.I | re.A)
 
 
-def _shorter(kind: str, value: str) -> Iterator[int]:
-    """Ends of the value's groups before its last one, the longest first, down to the kind's shortest value."""
-    for at in range(len(value) - 1, 0, -1):
-        if value[at] in " -" and sum(c not in " -" for c in value[:at]) >= _LEAST[kind]:
-            yield at
+def _ends(kind: str, value: str) -> Iterator[int]:
+    """Where a value of the kind may end in the match: all of it, then its groups' ends, the longest first."""
+    fixed = IBAN_LENGTHS.get(value[:2]) if kind == "iban" else None
+    for at in range(len(value), 0, -1):
+        if at == len(value) or kind in _LEAST and value[at] in " -":
+            size = sum(c not in " -" for c in value[:at])
+            if fixed in (None, size) and size >= _LEAST.get(kind, 0):
+                yield at
 
 
 def found(text: str, f: Feistel) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, pseudonym) of every valid value, left to right."""
     out, at = [], 0
     while m := _FIND.search(text, at):
-        kind = m.lastgroup if m.lastgroup != "mark" else "day"
-        end, new = m.end(), pseudonym(kind, m[0], f)
-        if new is None and kind in _LEAST:
-            for size in _shorter(kind, m[0]):
+        kind, new, end = m.lastgroup if m.lastgroup != "mark" else "day", None, m.end()
+        if kind != "ipv4" or not _RELEASE.search(text[max(0, m.start() - 12) : m.start()]):
+            for size in _ends(kind, m[0]):
                 if (new := pseudonym(kind, m[0][:size], f)) is not None:
                     end = m.start() + size
                     break
         if new is None and kind == "card" and (p := _FIND_PHONE.match(text, m.start())):
             m, end, kind, new = p, p.end(), "phone", pseudonym("phone", p[0], f)
         if new is None:
-            at = m.start() + max(1, len(re.match(r"\w*", m[0], re.A)[0]))
+            # A value that isn't one hides no other in its first word; an address that isn't one hides none at all.
+            at = m.end() if kind == "ipv4" else m.start() + max(1, len(re.match(r"\w*", m[0], re.A)[0]))
             continue
         out.append((kind, m.start(), end, new))
         at = end
@@ -248,7 +276,7 @@ def replaced(text: str, f: Feistel) -> tuple[str, int]:
     return "".join([*parts, text[at:]]), len(spans)
 
 
-def pseudonymised(docs: DataFrame, key: bytes = KEY, count: str | None = None) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: bytes, count: str | None = None) -> DataFrame:
     """docs with pseudonyms in its texts; n_chars follows where there is one; count: name of a column for their number."""
     schema = widened(docs.schema, **({count: LongType()} if count else {}))
     kinds = dict(docs.dtypes)

@@ -22,6 +22,15 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+#: Key of the synthetic tables' pseudonyms, used where the session names none; it protects nothing.
+EXAMPLE_KEY = "key for synthetic tables only"
+
+
+def key(spark: SparkSession) -> bytes:
+    """The session's secret, spark.lodestone.pii.key."""
+    return spark.conf.get("spark.lodestone.pii.key", EXAMPLE_KEY).encode()
+
+
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edits(documents(spark, sf_dir))
 
@@ -58,7 +67,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return pii.pseudonymised(docs, count="n_values").select("doc_id", "text", "n_values")
+    return pii.pseudonymised(docs, key(spark), count="n_values").select("doc_id", "text", "n_values")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

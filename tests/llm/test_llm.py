@@ -356,35 +356,87 @@ def test_pseudonyms_keep_their_format():
 
 
 def test_pseudonyms_in_texts(spark, docs, empty):
-    f = pii.Feistel()
+    f = pii.Feistel(b"k")
     mail, phone, card, ip = "bosbt.42@mail8.example.com", "+1 (988) 555-2485", "4041894974608795", "42.144.35.254"
     text = f"é {mail}, call {phone}. Pay {card} from {ip}; version 4.0.1 and 3."
     new, n = pii.replaced(text, f)
     assert n == 4 and not any(x in new for x in (mail, phone, card, ip)) and new.endswith("; version 4.0.1 and 3.") and new.startswith("é ")
     assert pii.replaced("nothing here, 12 of 2024", f) == ("nothing here, 12 of 2024", 0)
     df = spark.createDataFrame([(1, text, 1), (2, f"again {mail}", 2), (3, None, None)], "doc_id long, text string, n_chars int")
-    got = {r["doc_id"]: r for r in pii.pseudonymised(df).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymised(df, b"k").collect()}
     assert pii.pseudonym("email", mail, f) in got[1]["text"] and pii.pseudonym("email", mail, f) in got[2]["text"] and got[3]["text"] is None
     assert got[1]["n_chars"] == len(got[1]["text"])
-    same = pii.pseudonymised(clashing(docs))
+    same = pii.pseudonymised(clashing(docs), b"k")
     assert same.columns == clashing(docs).columns and sorted(str(r["text"]) for r in same.collect()) == sorted(str(r["text"]) for r in docs.collect())
-    assert pii.pseudonymised(empty).count() == 0
+    assert pii.pseudonymised(empty, b"k").count() == 0
 
 
 @pytest.mark.parametrize("card", ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "378282246310005"])
 @pytest.mark.parametrize("after", [" 123", "-123", " 12/27", "-12/27", " 12", " 12 345", "-12345", " 1234 5678"])
 def test_cards_before_short_numbers(card, after):
-    f = pii.Feistel()
+    f = pii.Feistel(b"k")
     assert pii.replaced(f"card {card}{after} paid", f)[0].startswith(f"card {pii.pseudonym('card', card, f)}{after[0]}")
     assert [x[0] for x in pii.found(f"{card}{after}", f)][0] == "card"
 
 
 def test_ibans_before_short_words():
-    f = pii.Feistel()
+    f = pii.Feistel(b"k")
     for iban in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00"):
         assert pii.replaced(f"to {iban} BIC X", f) == (f"to {pii.pseudonym('iban', iban, f)} BIC X", 1)
 
 
+def test_dates_keep_their_form():
+    f = pii.Feistel(b"k")
+    for y, m, d in [(2020, 1, 2), (1999, 12, 31), (2024, 2, 29), (1950, 7, 4), (2001, 11, 5)]:
+        iso = pii.pseudonym("iso", f"{y:04d}-{m:02d}-{d:02d}", f)
+        ny, nm, nd = iso.split("-")
+        assert pii.pseudonym("day", f"{d:02d}.{m:02d}.{y}", f) == f"{nd}.{nm}.{ny}" and pii.pseudonym("day", f"{m:02d}/{d:02d}/{y}", f) == f"{nm}/{nd}/{ny}"
+        for v in (f"{m}/{d}/{y}", f"{d}.{m}.{y}", f"{d}-{m:02d}-{y}", f"{d}/{m}/{y}"):
+            new = pii.pseudonym("day", v, f)
+            assert [len(x) for x in re.split("[/.-]", new)] == [len(x) for x in re.split("[/.-]", v)]
+            assert pii.pseudonym("day", new, f, back=True) == v
+
+
+def test_release_numbers_stay():
+    f = pii.Feistel(b"k")
+    for text in ("version 1.2.3.4 is out", "v1.2.3.4", "Release: 10.0.1.2"):
+        assert pii.replaced(text, f) == (text, 0)
+    assert pii.replaced("host 1.2.3.4 is up", f)[1] == 1
+
+
+def test_values_in_generated_texts():
+    """Every planted value, whatever stands around it, and nothing else, is replaced by its own pseudonym."""
+    f, r = pii.Feistel(b"k"), random.Random(6)
+    digits = lambda n: "".join(r.choices(string.digits, k=n))
+
+    def card():
+        body = r.choice("3456") + digits(14)
+        return body + pii._check_digit(body)
+
+    def iban():
+        country = r.choice(["BE", "DE", "NO", "NL"])
+        body = ("ABNA" if country == "NL" else "") + digits(pii.IBAN_LENGTHS[country] - 4 - 4 * (country == "NL"))
+        check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+        return f"{country}{check:02d}{body}"
+
+    spaced = lambda v: " ".join(v[i : i + 4] for i in range(0, len(v), 4))
+    makers = {
+        "card": lambda: r.choice([lambda v: v, spaced])(card()), "iban": lambda: r.choice([lambda v: v, spaced])(iban()), "email": lambda: f"{r.choice('abc')}{digits(3)}.x@mail{digits(1)}.example.org",
+        "ipv4": lambda: ".".join(str(r.randrange(256)) for _ in range(4)), "iso": lambda: f"{r.randrange(1900, 2100)}-{r.randrange(1, 13):02d}-{r.randrange(1, 29):02d}",
+        "day": lambda: f"{r.randrange(13, 29)}.{r.randrange(1, 13)}.{r.randrange(1900, 2100)}", "ssn": lambda: f"{r.randrange(1, 600):03d}-{r.randrange(1, 100):02d}-{r.randrange(1, 10000):04d}",
+    }
+    fillers = ["the invoice of", "EUR", "BIC", "paid", "and 12 of", "at 10:30,", "see page 7;", "(room 4)", "tel"]
+    for _ in range(400):
+        text, want = "", []
+        for _ in range(r.randrange(1, 5)):
+            text += r.choice(fillers) + " "
+            kind = r.choice(list(makers))
+            value = makers[kind]()
+            want.append((kind, len(text), len(text) + len(value), pii.pseudonym(kind, value, f)))
+            text += value + r.choice([" EUR ", ", ", " and ", "; ", "\n"])
+        assert pii.found(text, f) == want, text
+
+
 # --- 9
 
 
