@@ -2,16 +2,24 @@
 
 Base spans (kinds assign, access, hex): leftmost non-overlapping matches of fixed patterns, those too short dropped.
 
-The method adds spans of kind `random`: runs of 16 or more of the letters that encodings use. For each run, by the
-smallest encoding that holds its characters (decimal, hex, base32, lower or upper with digits, base62, base64, letters):
-- alphabet uniformity: the chi-squared statistic of the character counts, against what text's coincidence rate gives;
-- runs: changes between small letters, capitals and digits, against text, where classes rarely change;
-- serial correlation: changes between vowels and consonants from letter to letter, against text, where they alternate.
-Each p-value is the chance that ordinary text looks as random as this or more; Fisher's method joins the three. The
-Benjamini-Hochberg step-up then holds the false-discovery rate at FDR within each stratum of encoding and length over the
-whole corpus: many long words of a kind ask for stronger evidence, and short runs can't reach it by length alone. The
+The method adds spans of kind `random`: runs of 16 or more of the letters that encodings use. Each run's encoding is the
+smallest that holds its characters (hex, letters, base32, lower or upper with digits, base62, base64), and its characters
+are numbered in that alphabet. The battery tests the run against randomness over that alphabet:
+- alphabet uniformity: the chi-squared statistic, alphabet / n * sum(c * c) - n, rejects if counts are too uneven. It is a
+  linear function of the number of equal pairs, whose law under randomness is nearly Poisson with a known mean;
+- runs: the Wald-Wolfowitz test of the lower against the upper half of the alphabet, two-sided;
+- serial correlation: lag 1, of the symbol numbers, two-sided.
+A run is random if none of the three rejects at LEVEL / 3.
+
+Ordinary long words can pass by chance, the more easily the shorter they are. So each run also has a p-value, the chance
+that ordinary text of its length looks as random: by equal pairs against text's coincidence rate, by changes between small
+letters, capitals and digits (runs of classes), and by changes between vowels and consonants (serial), joined by Fisher's
+method; runs that the battery rejects have p-value 1. The Benjamini-Hochberg step-up then holds the false-discovery rate
+within each stratum of encoding and length over the whole corpus: many long words of a kind ask for stronger evidence. The
 step-up works on a histogram of p-values (strata * BINS rows at most), each counted at its bin's upper edge.
 
+Runs of digits alone aren't candidates: numbers of accounts, cards and orders are as random as any secret.
+
 Runs that overlap a base span are not added. Defined results: null text counts as empty; repeated rows have equal spans;
 very long texts are scanned whole; an empty table has no rows.
 """
@@ -33,7 +41,8 @@ from pyspark.sql import functions as F
 from .shared import released, settled, slices, strings
 
 FDR = 0.01
-LEAST = 16
+#: The battery's level: a run of its alphabet's letters at random is rejected this often.
+LEVEL = 0.03
 #: Steps of a p-value's common logarithm, and their number.
 STEP, BINS = 0.1, 400
 KINDS = ("assign", "access", "hex", "random")
@@ -44,8 +53,15 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 # Rates of ordinary text. Chance that two letters agree, sum of cubed frequencies, class changes, alternation.
 COINCIDENCE, CUBES, CLASS_CHANGE, ALTERNATION = 0.07, 0.0065, 0.1, 0.65
 _RUN = re.compile(r"[A-Za-z0-9+/=_-]{16,}")
-_ENCODINGS = [("decimal", 10, r"[0-9]+"), ("hex", 16, r"[0-9a-f]+|[0-9A-F]+"), ("letters", 26, r"[A-Z]?[a-z]+|[A-Z]+"), ("base32", 32, r"[A-Z2-7]+"), ("alnum36", 36, r"[0-9a-z]+|[0-9A-Z]+"), ("base62", 62, r"[0-9A-Za-z]+"), ("base64", 64, r".+")]
-_ENCODINGS = [(n, a, re.compile(p)) for n, a, p in _ENCODINGS]
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Name, pattern and alphabet, each letter at its number; letters of either case have one number where case isn't mixed.
+_ENCODINGS = [
+    ("decimal", r"[0-9]+", _DIGITS), ("hex", r"[0-9a-f]+|[0-9A-F]+", _DIGITS + "abcdef"), ("letters", r"[A-Z]?[a-z]+|[A-Z]+", _LOWER), ("base32", r"[A-Z2-7]+", _LOWER + "234567"),
+    ("alnum36", r"[0-9a-z]+|[0-9A-Z]+", _DIGITS + _LOWER), ("base62", r"[0-9A-Za-z]+", _DIGITS + _UPPER + _LOWER), ("base64", r".+", _UPPER + _LOWER + _DIGITS + "+/"),
+]
+_ENCODINGS = [(n, re.compile(p), {c: i for i, c in enumerate(a)}) for n, p, a in _ENCODINGS]
+#: Marks that stand for + and / in file names and addresses.
+_SAFE = str.maketrans("-_=", "+//")
 _LENGTHS = (24, 32, 48, 64)
 _CLASS = {c: k for k, s in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/=_-")) for c in s}
 
@@ -59,33 +75,81 @@ def _binomial(n: int, k: int, p: float, upper: bool) -> float:
     return min(1.0, math.fsum(map(term, range(k, n + 1) if upper else range(k + 1))))
 
 
-def encoding(run: str) -> tuple[str, int]:
+def encoding(run: str) -> tuple[str, dict[str, int]]:
+    body = run.rstrip("=") or run
+    return next((n, a) for n, p, a in _ENCODINGS if p.fullmatch(body))
+
+
+def symbols(run: str) -> tuple[list[int], int]:
+    """The run's characters as numbers of its encoding's alphabet, and the alphabet's size."""
+    name, alphabet = encoding(run)
     body = run.rstrip("=") or run
-    return next((n, a) for n, a, p in _ENCODINGS if p.fullmatch(body))
+    body = body.translate(_SAFE) if name == "base64" else body if name == "base62" else body.lower()
+    return [alphabet[c] for c in body], len(alphabet)
+
+
+def _poisson_tail(mean: float, k: int) -> float:
+    """P(Poisson(mean) >= k)."""
+    if k <= 0:
+        return 1.0
+    if k > mean + 40 * math.sqrt(mean + 1):
+        return 0.0
+    return max(0.0, 1 - math.fsum(math.exp(i * math.log(mean) - mean - math.lgamma(i + 1)) for i in range(k)))
 
 
 def battery(run: str) -> tuple[float, float, float]:
-    """p-values of alphabet uniformity, runs and serial correlation: how likely ordinary text is so random."""
+    """p-values of alphabet uniformity, runs and serial correlation under randomness over the run's alphabet."""
+    x, size = symbols(run)
+    n = len(x)
+    pairs = sum(c * (c - 1) // 2 for c in Counter(x).values())
+    uniform = _poisson_tail(n * (n - 1) / 2 / size, pairs)
+    high = [2 * v >= size for v in x]
+    n1 = sum(high)
+    n2 = n - n1
+    if n1 and n2:
+        mean = 2 * n1 * n2 / n + 1
+        spread = math.sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1)))
+        off = max(0.0, abs(1 + sum(a != b for a, b in zip(high, high[1:])) - mean) - 0.5)
+        runs = math.erfc(off / spread / math.sqrt(2))
+    else:
+        runs = 2 * 0.5**n
+    middle = sum(x) / n
+    around = sum((v - middle) ** 2 for v in x)
+    if around:
+        lag = sum((a - middle) * (b - middle) for a, b in zip(x, x[1:])) / around
+        serial = math.erfc(abs(lag + 1 / n) * math.sqrt(n / 2))
+    else:
+        serial = 0.0
+    return uniform, runs, serial
+
+
+def is_random(run: str) -> bool:
+    return min(battery(run)) >= LEVEL / 3
+
+
+def ordinary(run: str) -> tuple[float, float, float]:
+    """How likely ordinary text has so few equal pairs, so many class changes, so few changes of vowel and consonant."""
     body = run.rstrip("=") or run
     n = len(body)
-    # Chi-squared is alphabet / n * sum(c * c) - n: it falls with the coincidences, so they carry the test.
     same = sum(c * (c - 1) for c in Counter(body).values())
     mean = n * (n - 1) * COINCIDENCE
     spread = math.sqrt(2 * n * (n - 1) * (COINCIDENCE - COINCIDENCE**2) + 4 * n * (n - 1) * (n - 2) * (CUBES - COINCIDENCE**2))
-    uniform = 0.5 * math.erfc((mean - same) / spread / math.sqrt(2))
+    pairs = 0.5 * math.erfc((mean - same) / spread / math.sqrt(2))
     kinds = [_CLASS[c] for c in body]
     # A capital at the start of a word is ordinary.
     changes = sum(a != b for a, b in zip(kinds[1:], kinds[2:]))
-    runs = _binomial(n - 2, changes, CLASS_CHANGE, True)
+    classes = _binomial(n - 2, changes, CLASS_CHANGE, True)
     low = body.lower()
-    pairs = [(a in "aeiou", b in "aeiou") for a, b in zip(low, low[1:]) if a.isalpha() and b.isalpha()]
-    serial = _binomial(len(pairs), sum(a != b for a, b in pairs), ALTERNATION, False)
-    return uniform, runs, serial
+    letters = [(a in "aeiou", b in "aeiou") for a, b in zip(low, low[1:]) if a.isalpha() and b.isalpha()]
+    vowels = _binomial(len(letters), sum(a != b for a, b in letters), ALTERNATION, False)
+    return pairs, classes, vowels
 
 
 def evidence(run: str) -> float:
-    """-log10 of the joint p-value by Fisher's method."""
-    x = -sum(math.log(max(p, 1e-300)) for p in battery(run))
+    """-log10 of the p-value against ordinary text; 0 for runs that aren't random."""
+    if not is_random(run):
+        return 0.0
+    x = -sum(math.log(max(p, 1e-300)) for p in ordinary(run))
     return max(0.0, (x - math.log(1 + x + x * x / 2)) / math.log(10))
 
 
@@ -110,7 +174,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     for m in _RUN.finditer(text):
         s, e = m.span()
         before = bisect_left(starts, e)  # spans that start before this run ends
-        if not before or ends[before - 1] <= s:
+        if (not before or ends[before - 1] <= s) and not m[0].isdigit():
             out.append((s, e, stratum(m[0]), min(BINS - 1, int(evidence(m[0]) / STEP))))
     return out
 

@@ -124,6 +124,72 @@ def test_step_up_by_brute_force():
     assert sum(b >= least for b in bins) == best
 
 
+def test_battery_by_simulation():
+    """Random runs of each alphabet are rejected as rarely as LEVEL says; patterned ones always."""
+    r = random.Random(7)
+    alphabets = {"hex": "0123456789abcdef", "letters": string.ascii_lowercase, "base32": string.ascii_uppercase + "234567", "alnum36": string.digits + string.ascii_lowercase, "base62": string.digits + string.ascii_letters, "base64": string.ascii_letters + string.digits + "+/"}
+    for name, letters in alphabets.items():
+        for n in (16, 24, 40, 64):
+            runs = ["".join(r.choices(letters, k=n)) for _ in range(400)]
+            runs = [x for x in runs if secrets.encoding(x)[0] == name]
+            if len(runs) > 50:
+                assert sum(map(secrets.is_random, runs)) >= 0.93 * len(runs), (name, n)
+    for bad in ("o" * 20, "bc" * 10, "X" * 24, "abcdefghijklmnopqrstuvwxyz", "0a" * 12, "aaaaaaaaaaaaaaab", "Ab1" * 8):
+        assert not secrets.is_random(bad) and secrets.evidence(bad) == 0
+
+
+def planted_secrets(r, texts):
+    """texts with random runs of 16 to 64 letters put into some; (text's place, run)."""
+    alphabets = [string.digits + "abcdef", string.digits + string.ascii_lowercase, string.digits + string.ascii_letters, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + "234567"]
+    out, planted = list(texts), []
+    for k in range(400):
+        run = "".join(r.choices(alphabets[k % 5], k=r.randint(16, 64)))
+        at = r.randrange(len(out))
+        words = out[at].split(" ")
+        words.insert(r.randrange(len(words) + 1), run)
+        out[at] = " ".join(words)
+        planted.append((at, run))
+    for bad in ("o" * 20, "bc" * 10, "X" * 24, "=" * 40, "-" * 30, "12345678" * 3):
+        out.append(f"some {bad} here")
+    return out, planted
+
+
+def brute_secrets(texts):
+    """Every text's spans: base, and random runs by a step-up over the single p-values, rounded as the histogram's."""
+    found, cands = [], []
+    for i, t in enumerate(texts):
+        base = [(s, k, e) for s, k, e in brute_spans(t)]
+        found.append(list(base))
+        for m in re.finditer(r"[A-Za-z0-9+/=_-]{16,}", t):
+            if all(e <= m.start() or s >= m.end() for s, _, e in base) and not re.fullmatch("[0-9]+", m[0]):
+                p = 10 ** -(min(secrets.BINS - 1, int(secrets.evidence(m[0]) / secrets.STEP)) * secrets.STEP)
+                cands.append((secrets.stratum(m[0]), p, i, m.start(), m.end()))
+    for name in {c[0] for c in cands}:
+        own = sorted(c for c in cands if c[0] == name)
+        last = max((n for n, c in enumerate(own, 1) if c[1] * len(own) <= secrets.FDR * n * (1 + 1e-9)), default=0)
+        for c in own:
+            if last and c[1] <= own[last - 1][1]:
+                found[c[2]].append((c[3], 3, c[4]))
+    return [sorted(x) for x in found]
+
+
+def test_planted_random_runs(spark):
+    """The whole query against brute force over real texts with planted runs: recall, and nothing else found."""
+    r = random.Random(12)
+    texts = [x["text"] or "" for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    texts, planted = planted_secrets(r, texts)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: [tuple(s) for s in x["every"]] for x in secrets.spans(df).collect()}
+    want = brute_secrets(texts)
+    assert all(got[i] == [tuple(x) for x in w] for i, w in enumerate(want))
+    spans = {(i, texts[i][s:e]) for i, x in got.items() for s, _, e in x}
+    hit = sum(any(i == j and run in text for j, text in spans) for i, run in planted)
+    assert hit >= 0.9 * len(planted)
+    added = [(i, texts[i][s:e]) for i, x in got.items() for s, k, e in x if k == 3]
+    # Runs in the corpus itself may be secrets too; none here is other than planted, beside marks that adjoin.
+    assert sum(not any(i == j and run in text for j, run in planted) for i, text in added) <= 0.02 * len(added)
+
+
 # --- 3 and 5
 
 
