@@ -2,8 +2,9 @@
 
 1. Sizes are words. Sources, by code point with null last, share `share` times all words by repeating weights; a target
    stops at `cap` times its source's size, the excess is dealt again by weight among the others.
-2. Each source falls into blocks by a keyed hash of its rows; the number of blocks is fixed (BLOCKS over all sources, one
-   each at least), so the block table is bounded while blocks grow with the data.
+2. Each source falls into blocks by a keyed hash of its rows. Shards hold about SHARD_WORDS words, SHARDS at least; there
+   are BLOCKS_PER_SHARD blocks for each over all sources, BLOCKS at least and MOST_BLOCKS at most, and one for each source.
+   So shards stay of one size as data grow, and the block table, which goes to the driver, is bounded.
 3. A source gives whole passes over its blocks, then further blocks in permuted order until its target; the block in
    which the target ends gives rows in hash order, the last row its first words. So each source's words meet its target.
 4. The draws (source, pass, block) are split among output shards by a binary tree: a node's draws go left or right by a
@@ -20,6 +21,8 @@ source, so sources are few.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +32,10 @@ from .shared import settled
 SHARE = 1.5
 WEIGHTS = (5, 2, 1)
 CAP = 2.0
-BLOCKS = 4096
-SHARDS = 64
+BLOCKS, BLOCKS_PER_SHARD, MOST_BLOCKS = 4096, 16, 1 << 20
+SHARDS, SHARD_WORDS = 64, 1 << 26
+#: Rows of the block table that are broadcast; a longer one is joined as Spark chooses.
+MOST_BROADCAST = 100_000
 SEED = 20_240_229
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -84,15 +89,22 @@ def _hashed(docs: DataFrame, seed: int) -> DataFrame:
     return rows.withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id", "source", "_size")).drop("doc_id")
 
 
-def planned(docs: DataFrame, share: float = SHARE, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def planned(docs: DataFrame, share: float = SHARE, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, shards: int | None = None, seed: int = SEED) -> DataFrame:
     """_row (a row of docs), _size, _source_size, _target, and _draws: array of (pass, shard, words), empty if never taken."""
+    return _planned(docs, share, weights, cap, shards, seed)[0]
+
+
+def _planned(docs: DataFrame, share: float = SHARE, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, shards: int | None = None, seed: int = SEED) -> tuple[DataFrame, int]:
+    """The plan, and the number of shards."""
     spark = docs.sparkSession
     small = settled(_hashed(docs, seed).select("source", "_size", "_hash"))
     totals = sorted(((r["source"], r["n"]) for r in small.groupBy("source").agg(F.sum("_size").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
     sizes = [n for _, n in totals]
     aims = targets(sizes, share, weights, cap)
     every = max(1, sum(sizes))
-    blocks = [max(1, round(BLOCKS * n / every)) for n in sizes]
+    shards = shards or max(SHARDS, math.ceil(sum(aims) / SHARD_WORDS))
+    most = min(MOST_BLOCKS, max(BLOCKS, BLOCKS_PER_SHARD * shards))
+    blocks = [max(1, round(most * n / every)) for n in sizes]
     kinds = "source string, _i int, _source_size long, _target double, _blocks int"
     sources = spark.createDataFrame([(s, i, sizes[i], aims[i], blocks[i]) for i, (s, _) in enumerate(totals)], kinds)
 
@@ -104,7 +116,7 @@ def planned(docs: DataFrame, share: float = SHARE, weights: tuple[float, ...] =
 
     rng = np.random.default_rng(seed)
     held: list[dict[int, int]] = [{} for _ in totals]
-    for r in in_blocks(small).groupBy("_i", "_block").agg(F.sum("_size").alias("n")).collect():  # BLOCKS + sources rows
+    for r in in_blocks(small).groupBy("_i", "_block").agg(F.sum("_size").alias("n")).collect():  # MOST_BLOCKS + sources rows at most
         held[r["_i"]][r["_block"]] = r["n"]
     draws: list[list[tuple[int, int, int]]] = []  # of each source: (pass, block, words)
     for i, n in enumerate(sizes):
@@ -139,11 +151,11 @@ def planned(docs: DataFrame, share: float = SHARE, weights: tuple[float, ...] =
         edges = {r["_i"]: (r["_hash"], (r["_quota"] - r["before"]) // r["m"]) for r in rows.collect()}
     listed = [(i, b, d, *edges.get(i, (0, 0))) for (i, b), d in plan.items()]
     table = spark.createDataFrame(listed, "_i int, _block int, _plan array<struct<pass:int,shard:int,whole:int>>, _edge long, _last long")
-    rows = in_blocks(_hashed(docs, seed)).join(F.broadcast(table) if len(listed) <= BLOCKS + 50_000 else table, ["_i", "_block"], "left")
+    rows = in_blocks(_hashed(docs, seed)).join(F.broadcast(table) if len(listed) <= MOST_BROADCAST else table, ["_i", "_block"], "left")
     words = lambda d: F.when((d["whole"] == 1) | (F.col("_hash") < F.col("_edge")), F.col("_size")).when(F.col("_hash") == F.col("_edge"), F.col("_last")).otherwise(F.lit(0))
     taken = F.transform("_plan", lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), words(d).cast("long").alias("words")))
     taken = F.filter(F.coalesce(taken, F.array().cast("array<struct<pass:int,shard:int,words:bigint>>")), lambda d: d["words"] > 0)
-    return rows.withColumn("_draws", taken).drop("_i", "_block", "_blocks", "_plan", "_edge", "_last", "source")
+    return rows.withColumn("_draws", taken).drop("_i", "_block", "_blocks", "_plan", "_edge", "_last", "source"), shards
 
 
 def taken() -> Column:
@@ -151,13 +163,18 @@ def taken() -> Column:
     return F.aggregate("_draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
 
 
+def shards_of() -> Column:
+    """Shards of a planned row's draws, pass by pass."""
+    return F.transform("_draws", lambda d: d["shard"])
+
+
 def mixed(docs: DataFrame, with_shard: bool = False, **options) -> DataFrame:
     """The mix itself: a row of docs for each draw, in its shard's partition and shuffled there.
 
     with_shard: (_row, _shard) instead of docs' own columns.
     A row that gives only its first words has its text cut after them, and n_chars to match."""
-    shards = options.get("shards", SHARDS)
-    rows = planned(docs, **options).withColumn("_draw", F.explode("_draws"))
+    rows, shards = _planned(docs, **options)
+    rows = rows.withColumn("_draw", F.explode("_draws"))
     cut = F.col("_draw.words") < F.col("_size")
     first = F.regexp_extract_all("_row.text", F.lit(r"[\x20\x09-\x0D]*" + _WORD), F.lit(0))
     text = F.when(cut, F.array_join(F.slice(first, 1, F.col("_draw.words").cast("int")), "")).otherwise(F.col("_row.text"))

@@ -58,7 +58,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.planned(documents(spark, sf_dir).select("doc_id", "source", "text"))
-    return rows.select("_row.doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), mixing.taken().alias("taken"))
+    return rows.select("_row.doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), mixing.taken().alias("taken"), mixing.shards_of().alias("shards"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
