@@ -43,14 +43,15 @@ def maximal(turns: DataFrame) -> DataFrame:
 
 
 def rendered(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns, n_copies, chat: the maximal conversations in role blocks."""
-    kept = maximal(turns)
-    parts = turns.select(F.col("conv_id").alias("_conv"), "turn", "role", "text")
+    """conv_id, n_turns, n_copies, chat: the maximal conversations in role blocks. Turns meet the kept conversations before
+    they are gathered, by one key that both steps share: few of them are sent to the turns, many meet where they lie."""
+    key = F.struct(F.col("conv_id").alias("id"))  # null is an id like others inside a struct
+    kept = maximal(turns).select(key.alias("_key"), "n_turns", "n_copies")
     hashed = [F.xxhash64(F.lit(seed), F.col("role").isNull(), "role", F.col("text").isNull(), "text").alias(f"t{seed}") for seed in (1, 2)]
-    lists = parts.select("_conv", F.struct("turn", *hashed, "role", "text").alias("p")).groupBy("_conv").agg(F.sort_array(F.collect_list("p")).alias("parts"))
+    parts = turns.select(key.alias("_key"), F.struct("turn", *hashed, "role", "text").alias("p"))
+    lists = parts.join(kept, "_key").groupBy("_key", "n_turns", "n_copies").agg(F.sort_array(F.collect_list("p")).alias("parts"))
     block = lambda p: F.concat(F.lit("<|im_start|>"), F.coalesce(p["role"], F.lit("")), F.lit("\n"), F.coalesce(p["text"], F.lit("")), F.lit("<|im_end|>\n"))
-    chat = F.array_join(F.transform("parts", block), "")
-    return kept.join(lists, F.col("conv_id").eqNullSafe(F.col("_conv"))).select("conv_id", "n_turns", "n_copies", chat.alias("chat"))
+    return lists.select("_key.id", "n_turns", "n_copies", F.array_join(F.transform("parts", block), "").alias("chat")).withColumnRenamed("id", "conv_id")
 
 
 #: DuckDB SQL for the query: prefixes as lists of turns, compared whole.
