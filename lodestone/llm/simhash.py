@@ -213,9 +213,11 @@ def components(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) ->
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """docs with one row of each component: the one that names it (least doc_id).
-
-    Rows without a doc_id can't be told apart by key: of these, each different text stays once."""
-    kept = components(docs, shingle, budget).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return named.union(docs.where("doc_id is null")).dropDuplicates(["doc_id", "text"])
+    """docs with one row of each component: that of least doc_id (rows without one last, by their text's hash)."""
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", text))
+    # Fingerprints travel with their row's hash, under the name of the id.
+    fps = settled(fingerprints(keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("doc_id"), "text"), shingle))
+    roots = classes_with_roots(fps.select("fp", F.col("doc_id._row").alias("doc_id")), budget).select("fp", "root")
+    kept = fps.join(roots, "fp").groupBy("root").agg(F.min("doc_id").alias("least")).select(F.col("least._row").alias("_row"))
+    return keyed.join(kept.hint("merge"), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
