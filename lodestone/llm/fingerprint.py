@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .shared import SLICE_BYTES, released, slices, strings, widened, words
+from .shared import SLICE_BYTES, mapped, slices, strings, widened, words
 
 IDENTITY = 32
 LANES = 256
@@ -119,7 +119,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp, pa.string())], names=[*batch.schema.names, "fingerprint"])
 
     docs = docs.drop("fingerprint")
-    return docs.mapInArrow(released(run), widened(docs.schema, fingerprint=StringType()))
+    return mapped(docs, run, widened(docs.schema, fingerprint=StringType()))
 
 
 def edited(text: str, following: str) -> str:
@@ -202,4 +202,4 @@ def edits(docs: DataFrame) -> DataFrame:
                 size += len(text)
 
     kind = dict(docs.dtypes)["doc_id"]
-    return dealt.mapInArrow(released(run), f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return mapped(dealt, run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

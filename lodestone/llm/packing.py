@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from . import wordbpe
-from .shared import released, settled, slices, strings, widened
+from .shared import mapped, settled, slices, strings, widened
 
 LIMIT = 2048
 CLASSES = 64
@@ -71,7 +71,7 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def patterns(total: int = CLASSES, parts: int = MOST_PARTS) -> list[tuple[int, ...]]:
@@ -217,7 +217,7 @@ def pack(parts: DataFrame, limit: int = LIMIT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found[:, 3] + rank - found[:, 1]), pa.array(found[:, 4])], names=names)
 
     schema = widened(parts.schema, sequence_id=LongType(), offset=LongType())
-    return ranked.select(*own, "_salt", "_rank").mapInArrow(released(run), schema)
+    return mapped(ranked.select(*own, "_salt", "_rank"), run, schema)
 
 
 def packed(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:

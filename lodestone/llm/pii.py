@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType
 
-from .shared import released, slices, widened
+from .shared import mapped, slices, widened
 
 ROUNDS = 10
 _FIRST = datetime.date(1900, 1, 1).toordinal()
@@ -296,4 +296,4 @@ def pseudonymised(docs: DataFrame, key: bytes, count: str | None = None) -> Data
                     columns[count] = pa.array([n for _, n in new], pa.int64())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return docs.mapInArrow(released(run), schema)
+    return mapped(docs, run, schema)

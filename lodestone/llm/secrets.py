@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import released, settled, slices, strings
+from .shared import mapped, settled, slices, strings
 
 FDR = 0.01
 #: The battery's level: a run of its alphabet's letters at random is rejected this often.
@@ -202,7 +202,7 @@ def scanned(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "base", "runs"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, {_SCANNED}")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, {_SCANNED}")
 
 
 def thresholds(histogram: dict[tuple[str, int], int], rate: float = FDR) -> dict[str, int]:

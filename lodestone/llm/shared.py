@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that a Python worker takes into its vectorised steps at once.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
+#: Rows of an Arrow batch: batches have no limit in bytes, and rows are whole texts.
+BATCH_ROWS = 2500
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -61,18 +63,30 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         at = end
 
 
-def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, and after each partition free memory given back: workers idle between tasks, and allocators keep what they had."""
+def _free() -> None:
+    """Gives back what allocators keep although it is free."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """df.mapInArrow, with bounded memory: workers give free memory back now and then and after each partition (they stay
+    on, idle, between tasks), and a session that has Spark's own default for rows of an Arrow batch gets BATCH_ROWS."""
+    spark = df.sparkSession
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            for i, batch in enumerate(run(batches)):
+                yield batch
+                if i % 16 == 15:
+                    _free()
         finally:
-            pa.default_memory_pool().release_unused()
-            if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
-                trim(0)
+            _free()
 
-    return whole
+    return df.mapInArrow(whole, schema)
 
 
 def strings(column: pa.Array) -> pa.Array:

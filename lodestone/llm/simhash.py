@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import released, settled, slices, strings
+from .shared import mapped, settled, slices, strings
 
 SHINGLE = 3
 BUDGET = 2
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, fp long")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, fp long")
 
 
 def trie_links(a: np.ndarray, b: np.ndarray | None, top: int, spent: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import wordbpe
-from .shared import released, slices, strings
+from .shared import mapped, slices, strings
 
 LIMIT = 2048
 _CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
@@ -77,4 +77,4 @@ def counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chunks"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chunks long")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chunks long")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import released, settled, slices, strings
+from .shared import mapped, settled, slices, strings
 
 #: Different texts of each label that are learned from, at most.
 TRAIN_ROWS = 2000
@@ -288,4 +288,4 @@ def scored(docs: DataFrame, crf: Crf | float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s for s, _ in made], pa.float64()), pa.array(spans, pa.string())], names=["doc_id", "score", "spans"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, score double, spans string")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double, spans string")

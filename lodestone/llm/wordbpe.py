@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 from .shared import words
 
 #: Entries kept in a worker's caches; a fuller cache starts anew. Bounds memory, never results.
-CACHE = 400_000
+CACHE = 150_000
 #: Letters whose lower case and normal form (NFC) are code point for code point, then marks that form one piece.
 PLAIN = "^[A-Za-zÀ-ÖØ-öø-į]*[.,;:!?|]*$"
 MARKS = ".,;:!?|"
