@@ -90,22 +90,36 @@ def tag_number(reply: Column, tag: str) -> Column:
     return F.try_element_at(tag_map(reply), F.lit(tag)).try_cast("double")
 
 
-#: How replies state an integer for a keyword, tried in this order.
+#: How replies state an integer for a keyword, tried in this order whatever the case; a node's number may stand for it.
+_NODE = r"(?:node[_\s-]?)?"
 INTEGER_FORMS = (
-    r"<{k}>\s*(-?\d+)\s*</{k}>", r"\*\*{k}\*\*\s*[:=]?\s*(-?\d+)", r"\"{k}\"\s*:\s*\"?(-?\d+)", r"'{k}'\s*:\s*'?(-?\d+)", r"{k}\s*[:=]\s*\**\s*(-?\d+)",
-    r"{k}\s+is\s+(-?\d+)", r"{k}\s+of\s+(-?\d+)", r"{k}\s*\(\s*(-?\d+)\s*\)", r"{k}\s*\[\s*(-?\d+)\s*\]", r"{k}\s+(-?\d+)", r"(-?\d+)\s+{k}",
-)
+    r"<\s*{k}\s*>\s*:?\s*" + _NODE + r"(-?\d+)", r"{k}:\s*" + _NODE + r"(-?\d+)", r"\*\*{k}\*\*\s*:?\s*" + _NODE + r"(-?\d+)",
+    r"\*\*<\s*{k}\s*>\*\*:\s*" + _NODE + r"(-?\d+)", r"\*\*{k}:\*\*\s*" + _NODE + r"(-?\d+)", r"{k}\s*:?\s*(-?\d+)", r"{k}\s*:?\s*" + _NODE + r"(-?\d+)",
+)
+#: How replies name a node, in this order.
+NODE_FORMS = (
+    r"expand\s*node\s*(\d+)", r"node_id\s*:?\s*(\d+)", r"node\s*id\s*:?\s*(\d+)", r"suggested\s*node\s*:?\s*(\d+)", r"suggested_node_id\s*:?\s*(\d+)",
+    r"expand\s*node\s*#?(\d+)", r"node\s*#?(\d+)", r"\"node_id\"\s*:\s*(\d+)", r"\"suggested_node_id\"\s*:\s*(\d+)",
+)
 
 
-def integer_for(reply: Column, keyword: str) -> Column:
-    """The integer that a reply gives for a keyword, by the first form that matches; else the first integer at all."""
-    forms = [r"(?i)" + f.replace("{k}", keyword) for f in INTEGER_FORMS] + [r"(-?\d+)"]
-    return F.coalesce(*[F.regexp_extract(reply, f, 1).try_cast("int") for f in forms])
+def integer_for(reply: Column, keyword: str, allowed: list[int] | None = None) -> Column:
+    """The integer that a reply gives for a keyword, by the first form that matches with an allowed one; else null."""
+    found = [F.regexp_extract(reply, "(?is)" + f.replace("{k}", keyword), 1).try_cast("int") for f in INTEGER_FORMS]
+    return F.coalesce(*[x if allowed is None else F.when(x.isin(*allowed), x) for x in found])
+
+
+def node_id(reply: Column) -> Column:
+    """The node that a reply names, by the first form that matches; else null."""
+    return F.coalesce(*[F.regexp_extract(reply, "(?is)" + f, 1).try_cast("int") for f in NODE_FORMS])
 
 
 def duration(seconds: Column) -> Column:
+    """HHh:MMm:SSs, without the hours if there are none, and without the minutes if there are neither."""
     s = F.floor(seconds).cast("long")
-    return F.format_string("%02dh:%02dm:%02ds", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
+    hours, minutes = F.floor(s / 3600), F.floor(s % 3600 / 60)
+    part = lambda x, unit: F.format_string(f"%02d{unit}", x)
+    return F.concat_ws(":", F.when(hours > 0, part(hours, "h")), F.when((hours > 0) | (minutes > 0), part(minutes, "m")), part(s % 60, "s"))
 
 
 def call_id(name: Column, arguments_json: Column) -> Column:

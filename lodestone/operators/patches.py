@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@", re.M)
+#: What a patch's lines tell: a file's name on the old side, by git's header or else the first old file, and a hunk.
+_MARK = re.compile(r"^(?:diff --git a/(?P<git>.+) b/.+|--- a/(?P<old>.+)|@@ -(?P<at>\d+),(?P<before>\d+) \+\d+,(?P<after>\d+) @@)", re.M)
 
 
 def hunk(old_start: int, old_length: int, new_length: int) -> tuple[int, int, str]:
@@ -26,11 +27,11 @@ def hunks(patches: DataFrame, id: str = "instance_id", patch: str = "patch") ->
         for frame in frames:
             rows = []
             for key, text in zip(frame[id], frame[patch]):
-                for part in re.split(r"(?m)^(?=diff --git )|(?=^--- a/)", text or ""):
-                    if (path := re.search(r"(?m)^\+\+\+ (?:b/)?(\S+)", part)) is None:
-                        continue
-                    for m in _HUNK.finditer(part):
-                        rows.append((key, path[1], *hunk(int(m[1]), int(m[2] or 1), int(m[4] or 1))))
+                path = None
+                for m in _MARK.finditer(text or ""):
+                    path = m["git"] or path or m["old"]
+                    if m["at"] and path:
+                        rows.append((key, path, *hunk(int(m["at"]), int(m["before"]), int(m["after"]))))
             yield pd.DataFrame(rows, columns=[id, "file_path", "start_line", "end_line", "change"])
 
     kind = dict(patches.dtypes)[id]
@@ -38,15 +39,14 @@ def hunks(patches: DataFrame, id: str = "instance_id", patch: str = "patch") ->
 
 
 def compared(expected: DataFrame, actual: DataFrame, id: str = "instance_id") -> DataFrame:
-    """(id, missed_files, missed_hunks): expected hunks that no actual hunk of the file contains; no actual hunks at all
-    miss no files."""
+    """(id, missed_files, missed_hunks): expected hunks less the times that an actual hunk of the file contains one; no
+    actual hunks at all miss no files."""
     some = actual.select(id).distinct()
     files = expected.select(id, "file_path").distinct().join(actual.select(id, "file_path").distinct(), [id, "file_path"], "left_anti").join(some, id, "left_semi")
     a = actual.select(id, "file_path", F.col("start_line").alias("_s"), F.col("end_line").alias("_e"))
-    met = expected.join(a, [id, "file_path"]).where("start_line >= _s and end_line <= _e").select(id, "file_path", "start_line", "end_line").distinct()
-    missed = expected.join(met, [id, "file_path", "start_line", "end_line"], "left_anti")
-    counts = expected.select(id).distinct().join(files.groupBy(id).agg(F.count("*").alias("missed_files")), id, "left").join(missed.groupBy(id).agg(F.count("*").alias("missed_hunks")), id, "left")
-    return counts.na.fill(0)
+    met = expected.join(a, [id, "file_path"]).where("start_line >= _s and end_line <= _e").groupBy(id).agg(F.count("*").alias("_met"))
+    counts = expected.groupBy(id).agg(F.count("*").alias("_all")).join(met, id, "left").join(files.groupBy(id).agg(F.count("*").alias("missed_files")), id, "left").na.fill(0)
+    return counts.select(id, "missed_files", (F.col("_all") - F.col("_met")).alias("missed_hunks"))
 
 
 def missing_files(expected: DataFrame, found: DataFrame) -> DataFrame:

@@ -14,14 +14,13 @@ from ..session import small
 def glob_regex(pattern: str) -> str:
     """A file glob as a regular expression over whole paths without a leading slash.
 
-    A leading `/` goes, `**.ext` means `**/*.ext`, a name without wildcards matches exactly, others match at any depth."""
-    p = pattern.lstrip("/")
-    if p.startswith("**.") and "/" not in p:
-        p = "**/*" + p[2:]
-    if not re.search(r"[*?\[]", p):
-        return "^" + _quoted(p) + "$"
-    if not p.startswith("**/"):
-        p = "**/" + p
+    A leading `/` goes, and `**.ext` as a name means `**/*.ext`. A pattern matches at any depth unless it holds `**/`: with
+    a plain name its folders decide that, else the whole of it."""
+    p = pattern.removeprefix("/")
+    head, slash, name = p.rpartition("/")
+    name = name.replace("**.", "**/*.")
+    fixed = "**/" in (p if re.search(r"[*?\[\]]", name) else head + slash if head.startswith("**") else head)
+    p = head + slash + name if fixed else "**/" + head + slash + name
     out, i = "", 0
     while i < len(p):
         if p.startswith("**/", i):
@@ -62,7 +61,7 @@ def normal_path(path: Column, repo: str = "") -> Column:
 
 
 #: Base names of test files.
-TEST_NAMES = ("test_*.py", "*_test.py", "test.py", "tests.py", "*Test.java", "*Tests.java")
+TEST_NAMES = ("unittest_*.py", "test_*.py", "tests_*.py", "*_test.py", "test.py", "tests.py")
 TEST_GLOBS = ("**/tests/**", "tests*", "*_test.py", "test_*.py")
 
 
@@ -91,11 +90,23 @@ def lines(texts: DataFrame, text: str = "text") -> DataFrame:
 def line_search(texts: DataFrame, needles: DataFrame, text: str = "text", needle: str = "needle") -> DataFrame:
     """Lines that hold a needle, as (texts' columns, needles' columns, line, content).
 
-    Needles are a stated query set, broadcast behind a check of its size; each text meets them all by a containment test before its lines are cut."""
+    A word inside a needle, with white space on both sides, is a whole word of every line that holds it. So lines and
+    needles meet by the needle's longest inner word and are then compared: an equi-join. Needles without inner words are
+    compared with every line, as a stated query set behind a check of its size."""
     own = [c for c in texts.columns if c != text]
-    hits = texts.join(small(needles), F.contains(F.col(text), F.col(needle)))
-    found = lines(hits, text).where(F.contains("content", F.col(needle)))
-    return found.select(*own, *needles.columns, "line", "content")
+    split = F.split(F.col(needle), r"\s+")
+    inner = F.filter(F.slice(split, 2, F.greatest(F.size(split) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
+    keyed = needles.withColumn("_anchor", F.when(F.size(inner) > 0, longest))
+    rows = lines(texts, text)
+    words = rows.withColumn("_word", F.explode(F.array_distinct(F.split("content", r"\s+"))))
+    anchored = small(keyed.where("_anchor is not null"))
+    found = words.join(anchored, F.col("_word") == F.col("_anchor")).where(F.contains("content", F.col(needle)))
+    found = found.select(*own, *needles.columns, "line", "content")
+    bare = keyed.where("_anchor is null").drop("_anchor")
+    if bare.isEmpty():
+        return found
+    return found.union(rows.join(small(bare), F.contains("content", F.col(needle))).select(*own, *needles.columns, "line", "content"))
 
 
 def overlaps(start: Column, end: Column, low: Column, high: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,15 +100,15 @@ def related_spans(spans: DataFrame, edges: DataFrame, wanted: DataFrame) -> Data
     return out.union(into).union(of_class).union(of_module).distinct().join(wanted, ["file_path", "span_id"], "left_anti")
 
 
-def spread_spans(spans: DataFrame, edges: DataFrame, wanted: DataFrame, budget: int = 2000, rounds: int = 8) -> DataFrame:
+def spread_spans(spans: DataFrame, edges: DataFrame, wanted: DataFrame, budget: int = 2000) -> DataFrame:
     """Related spans, nearest first, until the token budget of each file is used: (file_path, span_id, distance, tokens)."""
     seen = wanted.select("file_path", "span_id", F.lit(0).alias("distance"))
     front = wanted
-    for k in range(1, rounds + 1):
+    for k in count(1):
         front = settled(related_spans(spans, edges, front).join(seen, ["file_path", "span_id"], "left_anti"))
         if front.isEmpty():
             break
-        seen = seen.union(front.select("file_path", "span_id", F.lit(k)))
+        seen = settled(seen.union(front.select("file_path", "span_id", F.lit(k))))
     rows = seen.join(spans.select("file_path", "span_id", "tokens"), ["file_path", "span_id"])
     total = F.sum("tokens").over(Window.partitionBy("file_path").orderBy("distance", "span_id"))
     return rows.withColumn("_total", total).where(F.col("_total") <= budget).drop("_total")

@@ -8,14 +8,17 @@ Distances are worked out in double precision. Squared L2 ranks ascending, cosine
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
+
 BLOCK = 1024
-#: Most queries for which blocks are sent to the executors; larger sets go through `topk` in parts.
+#: Most queries that are sent to the executors at once; larger sets are searched in parts, by a hash of their ids.
 MOST_QUERIES = 100_000
 
 
@@ -26,9 +29,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def topk(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vector: str = "embedding", metric: str = "l2", itself: bool = True) -> DataFrame:
     """(query_id, id, score, rank) for queries (query_id, query): the k nearest; ties by id (cosine: larger id first)."""
-    asked = queries.where("query is not null").select("query_id", "query").collect()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"over {MOST_QUERIES} queries: search in parts")
+    asked = queries.where("query is not null").select("query_id", "query")
+    parts = -(-asked.count() // MOST_QUERIES)
+    if parts > 1:
+        parts += parts // 4 + 1  # parts by hash are uneven
+        each = [settled(_topk(vectors, asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i), k, id, vector, metric, itself)) for i in range(parts)]
+        return reduce(DataFrame.union, each)
+    return _topk(vectors, asked, k, id, vector, metric, itself)
+
+
+def _topk(vectors: DataFrame, queries: DataFrame, k: int, id: str, vector: str, metric: str, itself: bool) -> DataFrame:
+    asked = queries.collect()
     kind = dict(vectors.dtypes)[id]
     schema = f"query_id {dict(queries.dtypes)['query_id']}, {id} {kind}, score double"
     ids = [r["query_id"] for r in asked]
@@ -56,6 +67,9 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vec
                 m = min(k, len(rows))
                 # The k-th value of each query; all rows up to it stay, so that ties are settled by the window.
                 edge = np.partition(rank, m - 1, axis=1)[:, m - 1 : m] + 1e-9
+                if metric == "l2":
+                    # The product form is off by a rounding error of the squared norms; exact distances decide below.
+                    edge = edge + 1e-12 * ((q * q).sum(1)[:, None] + (rows * rows).sum(1).max())
                 i, j = np.nonzero((rank <= edge) & np.isfinite(rank))
                 if metric == "l2":
                     exact = ((q[i] - rows[j]) ** 2).sum(1)

@@ -89,16 +89,19 @@ def v12_best_of_each_label(spark, d):
     return best.select("label", "b.vec_id", F.round("b.s", 6).alias("score"))
 
 
-@query(r"SELECT page_id, regexp_replace(regexp_replace(url, '^https?://[^/]+/', ''), '[?#].*$', '') AS path FROM pages WHERE regexp_matches(regexp_replace(regexp_replace(url, '^https?://[^/]+/', ''), '[?#].*$', ''), '(^|/)[^/]*\.html$') OR regexp_replace(regexp_replace(url, '^https?://[^/]+/', ''), '[?#].*$', '') SIMILAR TO '(.*/)?de/[^/]*'")
+_FILE = "CASE page_id % 6 WHEN 0 THEN 'setup.py' WHEN 1 THEN 'pkg/setup.py' WHEN 2 THEN 'src/a/t' || page_id || '.py' WHEN 3 THEN 'x/src/a/t' || page_id || '.py' WHEN 4 THEN 'a/de/' || page_id || '.html' ELSE 'a/b.htm' END"
+
+
+@query(f"SELECT page_id, path, regexp_matches(path, '^([^/]+/)*setup\\.py$') AS plain, regexp_matches(path, '^src/([^/]+/)*t[^/]*\\.py$') AS anchored, regexp_matches(path, '(^|/)de/[^/]*$') OR path LIKE '%.html' AS either FROM (SELECT page_id, {_FILE} AS path FROM pages)")
 def p02_globs(spark, d):
-    path = F.regexp_replace(F.regexp_replace("url", "^https?://[^/]+/", ""), "[?#].*$", "")
-    rows = table(spark, d, "pages").select("page_id", path.alias("path"))
-    return rows.where(predicates.matches_any(F.col("path"), ["**.html", "de/*"]))
+    rows = table(spark, d, "pages").select("page_id", F.expr(_FILE).alias("path"))
+    hit = lambda *globs: predicates.matches_any(F.col("path"), list(globs))
+    return rows.select("page_id", "path", hit("setup.py").alias("plain"), hit("src/**/t*.py").alias("anchored"), hit("**.html", "de/*").alias("either"))
 
 
-@query(r"SELECT page_id, regexp_matches(p, '(^|/)testing(/|$)') OR regexp_matches(p, '(^|/)(test_[^/]*\.py|[^/]*_test\.py|test\.py|tests\.py)$') AS is_test FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'a/testing/x.py' WHEN 1 THEN 'tests/x' || page_id || '.py' WHEN 2 THEN 'x' || page_id || '_test.py' WHEN 3 THEN 'test_' || page_id || '.py' ELSE split_part(url, '/', 4) || '.py' END AS p FROM pages)")
+@query(r"SELECT page_id, regexp_matches(p, '(^|/)testing(/|$)') OR (regexp_matches(p, '(^|/)((unit)?tests?_[^/]*\.py|[^/]*_test\.py|tests?\.py)$') AND NOT regexp_matches(p, '(^|/)unittests_[^/]*\.py$')) AS is_test FROM (SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'a/testing/x.py' WHEN 1 THEN 'tests/x' || page_id || '.py' WHEN 5 THEN 'a/unittest_' || page_id || '.py' WHEN 6 THEN 'tests_' || page_id || '.py' WHEN 7 THEN 'a/XTest.java' WHEN 2 THEN 'x' || page_id || '_test.py' WHEN 3 THEN 'test_' || page_id || '.py' ELSE split_part(url, '/', 4) || '.py' END AS p FROM pages)")
 def p05_is_test(spark, d):
-    p = F.expr("CASE page_id % 5 WHEN 0 THEN 'a/testing/x.py' WHEN 1 THEN 'tests/x' || page_id || '.py' WHEN 2 THEN 'x' || page_id || '_test.py' WHEN 3 THEN 'test_' || page_id || '.py' ELSE split_part(url, '/', 4) || '.py' END")
+    p = F.expr("CASE page_id % 8 WHEN 0 THEN 'a/testing/x.py' WHEN 1 THEN 'tests/x' || page_id || '.py' WHEN 5 THEN 'a/unittest_' || page_id || '.py' WHEN 6 THEN 'tests_' || page_id || '.py' WHEN 7 THEN 'a/XTest.java' WHEN 2 THEN 'x' || page_id || '_test.py' WHEN 3 THEN 'test_' || page_id || '.py' ELSE split_part(url, '/', 4) || '.py' END")
     return table(spark, d, "pages").select("page_id", predicates.is_test(p).alias("is_test"))
 
 
@@ -214,15 +217,19 @@ def f05_json_reply(spark, d):
     return table(spark, d, "events").select("event_id", T.parsed_reply(reply, "k int")["k"].alias("k"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS score FROM events")
+@query("SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL ELSE CAST(json_extract(props, '$.k') AS INTEGER) END AS score, CASE event_id % 4 WHEN 2 THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS node FROM events")
 def f10_integer_for(spark, d):
-    reply = F.concat(F.lit("I think the **Score**: "), F.get_json_object("props", "$.k"), F.lit(" of 100"))
-    return table(spark, d, "events").select("event_id", T.integer_for(reply, "score").alias("score"))
+    """Replies with the keyword in three forms, the third by a node's number, and with a number but without the keyword."""
+    k = F.get_json_object("props", "$.k")
+    forms = [F.concat(F.lit("After 12 steps: <score>: "), k), F.concat(F.lit("**Score:** "), k, F.lit(" of 100")), F.concat(F.lit("Score: node "), k), F.concat(F.lit("I saw "), k, F.lit(" files, no verdict"))]
+    reply = F.element_at(F.array(*forms), (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", T.integer_for(reply, "score").alias("score"), T.node_id(reply).alias("node"))
 
 
-@query("SELECT o_orderkey, printf('%02dh:%02dm:%02ds', s // 3600, s % 3600 // 60, s % 60) AS took FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS s FROM orders)")
+@query("SELECT o_orderkey, CASE WHEN s >= 3600 THEN printf('%02dh:', s // 3600) ELSE '' END || CASE WHEN s >= 60 THEN printf('%02dm:', s % 3600 // 60) ELSE '' END || printf('%02ds', s % 60) AS took FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) // CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 100 ELSE 10000 END AS s FROM orders)")
 def f12_duration(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", T.duration(F.col("o_totalprice")).alias("took"))
+    seconds = F.expr("cast(floor(o_totalprice) as bigint) div CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 100 ELSE 10000 END")
+    return table(spark, d, "orders").select("o_orderkey", T.duration(seconds).alias("took"))
 
 
 @query("SELECT event_id, 'call_' || substr(sha256(event_type || props), 1, 8) AS id FROM events")
@@ -507,14 +514,30 @@ def t01_tags(spark, d):
     return table(spark, d, "pages").select("page_id", templates.tags(F.col("html")).alias("tags"))
 
 
-@query("""
-SELECT 'user' AS role, u.text AS instruction, v.text AS output FROM conversations u JOIN conversations v ON u.conv_id = v.conv_id AND v.turn = u.turn + 1
-WHERE u.role = 'user' AND trim(u.text) <> '' AND trim(v.text) <> ''""")
-def s18_training_round_trip(spark, d):
+@query(f"""
+SELECT u.conv_id, u.turn, f.form, CASE f.form WHEN 'general' THEN 'system_instruction,question,answer,context' WHEN 'llama' THEN 'system,instruction,output' ELSE 'messages' END AS keys,
+  CASE f.form WHEN 'claude' THEN 'system,human,assistant' WHEN 'openai' THEN 'system,user,assistant' END AS roles, '{files.about("app")[0]}' AS system, u.text AS instruction, v.text AS output
+FROM conversations u JOIN conversations v ON u.conv_id = v.conv_id AND v.turn = u.turn + 1, (VALUES ('claude'), ('openai'), ('llama'), ('general')) f(form)
+WHERE u.role = 'user' AND u.text <> '' AND v.text <> ''""")
+def s18_training_records(spark, d):
+    """Every form's records: their keys in order, roles, system message, question and answer."""
     c = table(spark, d, "conversations")
     after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     pairs = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question")).join(after, ["conv_id", "turn"])
-    return files.instructions(files.training_lines(pairs, "openai"), "user").select(F.lit("user").alias("role"), "instruction", "output")
+    out = None
+    for form in files.FORMS[:-1]:
+        lines = pairs.select("conv_id", "turn", "question", "answer")
+        value = files.training_value(form, "app")
+        rows = lines.where("question <> '' and answer <> ''").select("conv_id", "turn", F.lit(form).alias("form"), value.alias("value"))
+        m = F.from_json("value", "messages array<struct<role:string,content:string>>")["messages"]
+        said = lambda i: F.get(m, F.lit(i))["content"]
+        key = lambda *names: F.coalesce(*[F.get_json_object("value", f"$.{n}") for n in names])
+        rows = rows.select(
+            "conv_id", "turn", "form", F.array_join(F.json_object_keys("value"), ",").alias("keys"), F.when(m.isNotNull(), F.array_join(F.transform(m, lambda x: x["role"]), ",")).alias("roles"),
+            F.coalesce(said(0), key("system", "system_instruction")).alias("system"), F.coalesce(said(1), key("instruction", "question")).alias("instruction"), F.coalesce(said(2), key("output", "answer")).alias("output"),
+        )
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS code FROM documents")
@@ -522,9 +545,10 @@ def s20_clipped(spark, d):
     return table(spark, d, "documents").select("doc_id", files.clipped(F.col("text")).alias("code"))
 
 
-@query("SELECT count(*) AS files, max(page_id) + 1 AS next FROM pages")
+@query("SELECT count(*) AS files, coalesce(max(page_id) FILTER (page_id % 3 = 0), 0) + 1 AS next FROM pages")
 def s25_next_number(spark, d):
-    out = files.next_number(table(spark, d, "pages").select(F.concat("page_id", F.lit(".log")).alias("file_name")))
+    name = F.concat("page_id", F.when(F.col("page_id") % 3 == 0, F.lit(".json")).otherwise(F.lit(".log")))
+    out = files.next_number(table(spark, d, "pages").select(name.alias("file_name")))
     return out.select("files", F.col("next").cast("long").alias("next"))
 
 

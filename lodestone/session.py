@@ -27,7 +27,10 @@ def settled(df):
 
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if at is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
     return df.checkpoint(eager=True)
 
 

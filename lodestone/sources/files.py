@@ -12,8 +12,9 @@ from ..functions import text as T
 def code_files(spark: SparkSession, root: str, suffix: str = "py") -> DataFrame:
     """(file: path below the root, content, modified, size) of every file with the suffix."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").load(root)
-    name = root.rstrip("/").rsplit("/", 1)[-1]
-    relative = F.regexp_replace("path", f"^.*?/{name}/", "") if name else F.col("path")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    whole = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/") + "/"
+    relative = F.when(F.startswith("path", F.lit(whole)), F.substring("path", len(whole) + 1, 1 << 30)).otherwise(F.col("path"))
     return rows.select(relative.alias("file"), "content", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
 
 
@@ -121,33 +122,50 @@ def artifacts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def next_number(files: DataFrame, name: str = "file_name") -> DataFrame:
-    """One row: files, and one more than the greatest number among their stems."""
-    stem = F.regexp_replace(F.col(name), r"\.[^.]*$", "").try_cast("int")
-    return files.agg(F.count("*").alias("files"), (F.coalesce(F.max(stem), F.lit(0)) + 1).alias("next"))
+    """One row: files, and one more than the greatest number before the first dot of the JSON files; score.json isn't one."""
+    counted = F.endswith(name, F.lit(".json")) & (F.col(name) != "score.json")
+    stem = F.when(counted, F.substring_index(F.col(name), ".", 1).try_cast("int"))
+    return files.agg(F.count("*").alias("files"), (F.greatest(F.coalesce(F.max(stem), F.lit(0)), F.lit(0)) + 1).alias("next"))
 
 
-# The fine-tuning forms.
+# The fine-tuning forms, and what they say about a repository (system message, description).
 FORMS = ("claude", "openai", "llama", "general", "csv")
+ABOUT = {
+    "django": ("你是Django框架的专家，精通Web开发、ORM和MVC架构。请用中文回答关于Django源码的问题。", "Django是一个高级Python Web框架，鼓励快速开发和简洁实用的设计。"),
+    "pytorch": ("你是PyTorch深度学习框架的专家，精通神经网络和机器学习算法。请用中文回答关于PyTorch源码的问题。", "PyTorch是一个开源的机器学习库，提供灵活的神经网络构建工具。"),
+}
+ANY = ("你是{}代码库的专家，精通相关技术和架构。请用中文回答问题。", "{}是一个代码仓库。")
 
 
-def training_lines(pairs: DataFrame, form: str = "general") -> DataFrame:
-    """`value`: a training record for each pair with a question and an answer; unknown forms are general. csv keeps
-    columns instead."""
-    rows = pairs.where("trim(coalesce(question, '')) <> '' and trim(coalesce(answer, '')) <> ''")
-    message = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
-    if form == "csv":
-        return rows.select(F.col("question").alias("instruction"), F.col("answer").alias("output"))
+def about(repo: str) -> tuple[str, str]:
+    return ABOUT.get(repo) or tuple(t.format(repo) for t in ANY)
+
+
+def training_value(form: str, repo: str) -> Column:
+    """A pair's training record as JSON; unknown forms are general."""
+    system, described = (F.lit(x) for x in about(repo))
+    question, answer = F.col("question"), F.col("answer")
     if form in ("claude", "openai"):
-        record = F.struct(F.array(message("human" if form == "claude" else "user", "question"), message("assistant", "answer")).alias("messages"))
+        said = (("system", system), ("human" if form == "claude" else "user", question), ("assistant", answer))
+        fields = {"messages": F.array(*[F.struct(F.lit(role).alias("role"), text.alias("content")) for role, text in said])}
     elif form == "llama":
-        record = F.struct(F.format_string("<s>[INST] %s [/INST] %s </s>", "question", "answer").alias("text"))
+        fields = {"system": system, "instruction": question, "output": answer}
     else:
-        record = F.struct(F.col("question").alias("instruction"), F.lit("").alias("input"), F.col("answer").alias("output"))
-    return rows.select(F.to_json(record).alias("value"))
+        fields = {"system_instruction": system, "question": question, "answer": answer, "context": described}
+    return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
+
+
+def training_lines(pairs: DataFrame, form: str = "general", repo: str = "repository") -> DataFrame:
+    """`value`: a training record for each pair with a question and an answer. csv keeps columns (system, question, answer,
+    context: empty) instead."""
+    rows = pairs.where("question <> '' and answer <> ''")
+    if form == "csv":
+        return rows.select(F.lit(about(repo)[0]).alias("system"), "question", "answer", F.lit("").alias("context"))
+    return rows.select(training_value(form, repo).alias("value"))
 
 
-def write_training(pairs: DataFrame, path: str, form: str = "general") -> None:
-    rows = training_lines(pairs, form)
+def write_training(pairs: DataFrame, path: str, form: str = "general", repo: str = "repository") -> None:
+    rows = training_lines(pairs, form, repo)
     rows.write.mode("overwrite").csv(path, header=True) if form == "csv" else rows.write.mode("overwrite").text(path)
 
 

@@ -109,7 +109,7 @@ def test_f1(spark, p, t, want):
 def test_text_functions(spark):
     assert one(spark, T.tag_map(F.lit("<a>1</a> x <b> two </b><a>3</a>"))) == {"a": "3", "b": "two"}
     assert one(spark, T.parsed_reply(F.lit('x {"score": 4, "reasoning": None} y'), "score int, reasoning string"))["score"] == 4
-    assert one(spark, T.integer_for(F.lit("The value: 7, score is -3"), "score")) == -3
+    assert one(spark, T.integer_for(F.lit("The value: 7, score: -3"), "score")) == -3
     assert one(spark, T.largest_json(F.lit('```json\n{"a": 1}\n``` and ```json\n{"a": 1, "b": 2}\n```'))) == '{"a": 1, "b": 2}'
     assert one(spark, F.array(*[T.is_constant(F.lit(n)) for n in ("MAX_SIZE", "MAXSIZE", "Max_Size")])) == [True, False, False]
     assert one(spark, T.called_names(F.lit("if (foo(bar.baz(1)))"))) == ["foo", "bar.baz"]
@@ -122,7 +122,7 @@ def test_paths(spark):
     paths = ["a/testing/x.py", "tests/x.py", "x_test.py", "a/b/x.py"]
     assert [one(spark, predicates.is_test(F.lit(p))) for p in paths] == [True, False, True, False]
     match = lambda p, g: one(spark, predicates.matches_any(F.lit(p), [g]))
-    assert match("a/b/x.py", "**.py") and match("a/x.py", "/a/x.py") and not match("b/a/x.py", "a/x.py") and match("b/a/xyz.py", "a/x*.py") and not match("a/b/x.py", "a/*.py")
+    assert match("a/b/x.py", "**.py") and match("a/x.py", "/a/x.py") and match("b/a/x.py", "a/x.py") and match("b/a/xyz.py", "a/x*.py") and not match("a/b/x.py", "a/*.py")
     with pytest.raises(ValueError):
         predicates.matches_any(F.lit("x"), ["a,b"])
 
@@ -296,7 +296,7 @@ def test_sources(spark, tmp_path):
         files.write_training(pairs, str(tmp_path / "out" / form), form)
         assert files.training_lines(pairs, form).count() == 1
     line = json.loads(spark.read.text(str(tmp_path / "out" / "openai")).first()["value"])
-    assert [m["role"] for m in line["messages"]] == ["user", "assistant"]
+    assert [m["role"] for m in line["messages"]] == ["system", "user", "assistant"]
     store = files.resolved_store(spark, str(tmp_path / "store"), lambda: spark.range(3))
     assert store.count() == 3 and files.resolved_store(spark, str(tmp_path / "store"), lambda: 1 / 0).count() == 3
 
@@ -349,3 +349,82 @@ def test_query_equals_its_sql(spark, duck, name):
     at = [want.columns.index(c) for c in columns]
     rows = sorted((tuple(plain(x) for x in r) for r in df.select(*columns).collect()), key=repr)
     assert rows == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=repr)
+
+
+# --- values read off the reference's rules
+
+
+def test_replies_without_the_keyword_give_no_integer(spark):
+    got = lambda text, **k: one(spark, T.integer_for(F.lit(text), "reward", **k))
+    assert got("I saw 42 files, no verdict") is None and got("<reward> 7 </reward>") == 7 and got("**Reward:** -3") == -3
+    assert got("Reward: node 5") == 5 and got("<Reward>: Node_12") == 12 and got("reward 8") == 8
+    assert got("<reward>150</reward> reward: 80", allowed=list(range(101))) == 80 and got("reward: 500", allowed=[1, 2]) is None
+    node = lambda text: one(spark, T.node_id(F.lit(text)))
+    assert [node(x) for x in ("expand node 5", "Node ID: 7", "suggested node: 3", '{"suggested_node_id": 9}', "see #4")] == [5, 7, 3, 9, None]
+
+
+def test_durations_without_empty_parts(spark):
+    assert [one(spark, T.duration(F.lit(x))) for x in (5.9, 65.0, 3600.0, 0.0)] == ["05s", "01m:05s", "01h:00m:00s", "00s"]
+
+
+def test_globs_at_any_depth_or_anchored(spark):
+    hit = lambda path, glob: one(spark, predicates.matches_any(F.lit(path), [glob]))
+    assert hit("pkg/setup.py", "setup.py") and hit("setup.py", "/setup.py") and not hit("pkg/xsetup.py", "setup.py")
+    assert hit("src/a/t1.py", "src/**/t*.py") and hit("src/t1.py", "src/**/t*.py") and not hit("x/src/a/t1.py", "src/**/t*.py")
+    assert hit("x/a/b.py", "a/b.py") and hit("x/a/b.py", "a/*.py") and hit("x/y/b.py", "**.py") and not hit("x/a/b.py", "**/y/b.py")
+
+
+def test_test_names(spark):
+    paths = ["a/unittest_x.py", "tests_x.py", "FooTest.java", "a/testing/x.py", "a/tests/x.py", "x_test.py", "tests.py"]
+    assert [one(spark, predicates.is_test(F.lit(p))) for p in paths] == [True, True, False, True, False, True, True]
+
+
+def test_hunks_of_deleted_files_keep_their_path(spark):
+    patch = "diff --git a/x/gone.py b/x/gone.py\n--- a/x/gone.py\n+++ /dev/null\n@@ -10,9 +0,0 @@\n-a\n"
+    got = patches.hunks(spark.createDataFrame([("i", patch)], "instance_id string, patch string")).collect()
+    assert [tuple(r) for r in got] == [("i", "x/gone.py", 13, 15, "deletion")]
+
+
+def test_numbers_of_json_files(spark):
+    names = spark.createDataFrame([("3.json",), ("9.log",), ("score.json",), ("x.json",), ("12.old.json",)], "file_name string")
+    assert files.next_number(names).first()["next"] == 13
+
+
+def test_training_records_hold_the_system_message(spark):
+    pairs = spark.createDataFrame([("q", "a"), ("", "a"), (" ", "b")], "question string, answer string")
+    keys = {f: [list(json.loads(r["value"])) for r in files.training_lines(pairs, f, "django").collect()] for f in files.FORMS[:-1]}
+    assert keys == {"claude": [["messages"]] * 2, "openai": [["messages"]] * 2, "llama": [["system", "instruction", "output"]] * 2, "general": [["system_instruction", "question", "answer", "context"]] * 2}
+    assert files.training_lines(pairs, "csv").columns == ["system", "question", "answer", "context"]
+    roles = [m["role"] for m in json.loads(files.training_lines(pairs, "claude").first()["value"])["messages"]]
+    assert roles == ["system", "human", "assistant"]
+
+
+def test_paths_below_a_root_whose_name_repeats(spark, tmp_path):
+    root = tmp_path / "src" / "p+" / "src"
+    (root / "q").mkdir(parents=True)
+    (root / "q" / "a.py").write_text("x = 1")
+    assert [r["file"] for r in files.code_files(spark, str(root)).collect()] == ["q/a.py"]
+
+
+def test_large_vectors_lose_no_neighbour(spark):
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    v = 1e5 + r.normal(size=(200, 32))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    got = vectors.topk(df, df.where("vec_id = 0").selectExpr("vec_id as query_id", "embedding as query"), 5).orderBy("rank").collect()
+    assert [x["vec_id"] for x in got] == np.argsort(((v - v[0]) ** 2).sum(1), kind="stable")[:5].tolist()
+
+
+def test_queries_beyond_one_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "MOST_QUERIES", 40)
+    df = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(150)], "vec_id long, embedding array<double>")
+    got = vectors.topk(df, df.selectExpr("vec_id as query_id", "embedding as query"), 1).collect()
+    assert sorted((x["query_id"], x["vec_id"]) for x in got) == [(i, i) for i in range(150)]
+
+
+def test_lines_with_short_and_long_needles(spark):
+    texts = spark.createDataFrame([(1, "one two three\nxtwo three four"), (2, "nothing\nwo threes")], "doc_id int, text string")
+    needles = spark.createDataFrame([("a", "e two thr"), ("b", "two"), ("c", "two three four"), ("d", "wo  three")], "id string, needle string")
+    got = {(r["doc_id"], r["id"], r["line"]) for r in predicates.line_search(texts, needles).collect()}
+    assert got == {(1, "a", 1), (1, "b", 1), (1, "b", 2), (1, "c", 2)}
