@@ -8,7 +8,7 @@ The self-join walks a binary trie over the distinct fingerprints two nodes at a
 each side goes left or right, a differing step costs one bit, and a pair is left as soon as the budget is exceeded or a
 side is empty. Spark spreads the top of the trie: every fingerprint goes to the pairs of subtries (by the top `b` bits)
 that can still be within the budget, one group for each pair of subtries. A group returns a spanning forest of the links
-it found, never the pairs themselves; distributed min-label hooking joins the forests.
+it found, never the pairs themselves; `least_labels` joins the forests.
 
 Defined results: null text counts as empty; null doc_id rows belong to their component but never name it unless all
 its ids are null (component_id null); repeated rows stay repeated; an empty table gives an empty result; further
@@ -34,6 +34,8 @@ BUDGET = 2
 #: Fingerprints in a subtrie, about, and the least number of bits that spread subtries.
 SUBTRIE = 1 << 16
 LEAST_BITS = 4
+#: Most links that one task joins, at 16 bytes each; more are joined in distributed rounds.
+FEW_LINKS = 1 << 20
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -176,11 +178,33 @@ def forests(classes: DataFrame, budget: int = BUDGET) -> DataFrame:
     return near.groupBy("lo", "hi").applyInPandas(run, "a long, b long")
 
 
+def _joined(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every vertex of all the edges with the least one of its component."""
+    held = [np.stack([part.column(c).to_numpy() for c in ("a", "b")]) for part in parts if part.num_rows]
+    if not held:
+        return
+    vertex, at = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    root = np.arange(len(vertex))
+    while len(a):
+        # Hook the greater root of each edge to the lesser one, then let all find their roots.
+        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while (root != root[root]).any():
+            root = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    yield pa.RecordBatch.from_arrays([pa.array(vertex), pa.array(vertex[root])], names=["v", "root"])
+
+
 def least_labels(edges: DataFrame) -> DataFrame:
     """(v, root long): every vertex of edges (a, b) with the least vertex of its component.
 
-    Rounds of hooking to the least neighbouring label and label doubling, each cut by a checkpoint."""
-    edges = settled(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    Up to FEW_LINKS edges, 16 MB, meet in one task. More take rounds of hooking to the least neighbouring label and label
+    doubling, each cut by a checkpoint. Both give the same rows."""
+    edges = settled(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    if edges.limit(FEW_LINKS + 1).count() <= FEW_LINKS:
+        return settled(mapped(edges.coalesce(1), _joined, "v long, root long"))
+    edges = settled(edges.distinct())
     both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).union(edges.select("b", "a"))
     labels = settled(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("root")))
     while True:

@@ -584,11 +584,24 @@ def test_trie_links_by_brute_force():
     assert cross == sum((int(x) ^ int(y)).bit_count() <= 2 for x in b for y in c)
 
 
-def test_long_chains_join(spark):
+@pytest.mark.parametrize("few", [0, simhash.FEW_LINKS])
+def test_long_chains_join(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW_LINKS", few)
     n = 200
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 2000), (5, 5)], "a long, b long")
     got = {r["v"]: r["root"] for r in simhash.least_labels(edges).collect()}
     assert got == {i: 0 for i in range(n + 1)} | {1000: 1000, 2000: 1000}
+    assert simhash.least_labels(edges.where("a < 0")).collect() == []
+    # Both ways agree on links at random, negative ones and repeated ones among them.
+    r = np.random.default_rng(3)
+    pairs = r.integers(-300, 300, (350, 2)).tolist()
+    least = {v: v for pair in pairs for v in pair if pair[0] != pair[1]}
+    for _ in range(600):
+        for a, b in pairs:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    again = spark.createDataFrame(pairs + pairs[:50], "a long, b long")
+    assert {r["v"]: r["root"] for r in simhash.least_labels(again).collect()} == least
 
 
 # --- near copies
