@@ -122,6 +122,11 @@ def duration(seconds: Column) -> Column:
     return F.concat_ws(":", F.when(hours > 0, part(hours, "h")), F.when((hours > 0) | (minutes > 0), part(minutes, "m")), part(s % 60, "s"))
 
 
+def stamp(at: Column) -> Column:
+    """A time as the start of a file's name."""
+    return F.date_format(at, "yyyyMMdd_HHmmss")
+
+
 def call_id(name: Column, arguments_json: Column) -> Column:
     """A tool call's id: 8 hex digits of the SHA-256 of its name and its arguments (keys sorted by the caller)."""
     return F.concat(F.lit("call_"), F.substring(F.sha2(F.concat(name, arguments_json), 256), 1, 8))

@@ -584,3 +584,6 @@ def x02_budget_state(spark, d):
 def x06_histories(spark, d):
     parts = F.sort_array(F.collect_list(F.struct("event_id", "event_type")))
     return table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.transform(parts, lambda p: p["event_type"]), "\n").alias("history"))
+
+
+from . import trees as _trees  # noqa: E402, F401
