@@ -51,11 +51,12 @@ def g05_path_trie(spark, d):
 
 @query(f"""
 WITH {_B}, f AS (SELECT *, row_number() OVER (PARTITION BY parent_id, identifier ORDER BY ord) = 1 AS is_first FROM b WHERE parent_id IS NOT NULL)
-SELECT r.block_id AS root_id, y.block_id FROM b r JOIN f x ON x.parent_id = r.block_id AND x.identifier = 'x0' AND x.is_first JOIN f y ON y.parent_id = x.block_id AND y.identifier = 'x1' AND y.is_first WHERE r.parent_id IS NULL""")
+SELECT r.block_id AS root_id, x.identifier || '.' || y.identifier AS path, y.block_id FROM b r JOIN f x ON x.parent_id = r.block_id AND x.is_first JOIN f y ON y.parent_id = x.block_id AND y.is_first WHERE r.parent_id IS NULL""")
 def g06_by_path(spark, d):
     b = _blocks(spark, d)
-    wanted = b.where("parent_id is null").select(F.col("block_id").alias("root_id"), F.array(F.lit("x0"), F.lit("x1")).alias("path"))
-    return blocks.by_path(b, _paths(b), wanted).select("root_id", "block_id")
+    steps = F.array(*[F.array(F.lit(f"x{i}"), F.lit(f"x{j}")) for i in range(4) for j in range(4)])
+    wanted = b.where("parent_id is null").select(F.col("block_id").alias("root_id"), F.explode(steps).alias("path"))
+    return blocks.by_path(b, _paths(b), wanted).select("root_id", F.array_join("path", ".").alias("path"), "block_id")
 
 
 @query(f"WITH {_P} SELECT start_id, min_by(block_id, ord) AS block_id FROM d WHERE distance > 0 AND identifier = 'x3' AND type = 'statement' GROUP BY 1")
