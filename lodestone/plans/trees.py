@@ -14,7 +14,7 @@ from .catalog import query, table
 
 _UP = "CASE WHEN n % 10 > 0 THEN n - n % 10 WHEN n % 100 > 0 THEN n - n % 100 WHEN n % 1000 > 0 THEN n - n % 1000 END"
 _TYPE = "CASE WHEN n % 1000 = 0 THEN 'module' WHEN n % 100 = 0 THEN 'class' WHEN n % 10 = 0 THEN 'function' WHEN n % 7 = 0 THEN 'commented_out_code' WHEN n % 11 = 0 THEN 'error' ELSE 'statement' END"
-_BLOCK = f"n AS block_id, {_UP} AS parent_id, n AS ord, {_TYPE} AS type, 'x' || (p_size % 4) AS identifier, p_name AS content, CASE WHEN p_size % 5 > 0 THEN 's' || (p_size % 3) END AS span_id"
+_BLOCK = f"n AS block_id, {_UP} AS parent_id, n AS ord, {_TYPE} AS type, CASE WHEN n % 1000 = 0 THEN 'm' WHEN n % 100 = 0 THEN 'c' WHEN n % 10 = 0 THEN 'f' ELSE 's' END || (p_size % 4) AS identifier, p_name AS content, CASE WHEN p_size % 5 > 0 THEN 's' || (p_size % 3) END AS span_id"
 _B = f"b AS (SELECT {_BLOCK} FROM (SELECT *, p_partkey - 1 AS n FROM part))"
 _P = f"RECURSIVE {_B}, p AS (SELECT block_id AS node_id, block_id AS ancestor_id, parent_id AS up, 0 AS distance FROM b UNION ALL SELECT p.node_id, b.block_id, b.parent_id, distance + 1 FROM p JOIN b ON b.block_id = p.up), d AS (SELECT p.ancestor_id AS start_id, p.distance, b.* FROM p JOIN b ON b.block_id = p.node_id)"
 
@@ -51,18 +51,18 @@ def g05_path_trie(spark, d):
 
 @query(f"""
 WITH {_B}, f AS (SELECT *, row_number() OVER (PARTITION BY parent_id, identifier ORDER BY ord) = 1 AS is_first FROM b WHERE parent_id IS NOT NULL)
-SELECT r.block_id AS root_id, x.identifier || '.' || y.identifier AS path, y.block_id FROM b r JOIN f x ON x.parent_id = r.block_id AND x.is_first JOIN f y ON y.parent_id = x.block_id AND y.is_first WHERE r.parent_id IS NULL""")
+SELECT r.block_id AS root_id, x.identifier || '.' || y.identifier AS path, y.block_id FROM b r JOIN f x ON x.parent_id = r.block_id AND x.is_first AND x.identifier[1] = 'c' JOIN f y ON y.parent_id = x.block_id AND y.is_first AND y.identifier[1] = 'f' WHERE r.parent_id IS NULL""")
 def g06_by_path(spark, d):
     b = _blocks(spark, d)
-    steps = F.array(*[F.array(F.lit(f"x{i}"), F.lit(f"x{j}")) for i in range(4) for j in range(4)])
+    steps = F.array(*[F.array(F.lit(f"c{i}"), F.lit(f"f{j}")) for i in range(4) for j in range(4)])
     wanted = b.where("parent_id is null").select(F.col("block_id").alias("root_id"), F.explode(steps).alias("path"))
     return blocks.by_path(b, _paths(b), wanted).select("root_id", F.array_join("path", ".").alias("path"), "block_id")
 
 
-@query(f"WITH {_P} SELECT start_id, min_by(block_id, ord) AS block_id FROM d WHERE distance > 0 AND identifier = 'x3' AND type = 'statement' GROUP BY 1")
+@query(f"WITH {_P} SELECT start_id, min_by(block_id, ord) AS block_id FROM d WHERE distance > 0 AND identifier = 's3' AND type = 'statement' GROUP BY 1")
 def g06_by_identifier(spark, d):
     b = _blocks(spark, d)
-    return blocks.by_identifier(b, _paths(b), "x3", "statement", recursive=True)
+    return blocks.by_identifier(b, _paths(b), "s3", "statement", recursive=True)
 
 
 @query(f"WITH {_P}, gaps AS (SELECT DISTINCT start_id AS block_id FROM d WHERE type = 'commented_out_code') SELECT start_id, block_id FROM d JOIN gaps USING (block_id) WHERE distance > 0 AND type IN ('class', 'function')")
@@ -169,10 +169,10 @@ def x06_messages(spark, d):
 
 
 @query(f"""
-WITH {_P}, r AS (SELECT block_id, 'x' || (block_id % 4) AS name FROM b),
+WITH {_P}, r AS (SELECT block_id, 's' || (block_id % 4) AS name FROM b),
 f AS (SELECT r.block_id, r.name, c.block_id AS target_id, row_number() OVER (PARTITION BY r.block_id, r.name ORDER BY distance, c.block_id) AS n FROM r JOIN p ON p.node_id = r.block_id JOIN b c ON c.parent_id = p.ancestor_id AND c.identifier = r.name)
 SELECT block_id, name, target_id FROM f WHERE n = 1""")
 def r20_in_scope(spark, d):
     b = _blocks(spark, d)
-    wanted = b.select("block_id", F.concat(F.lit("x"), F.col("block_id") % 4).alias("name"))
+    wanted = b.select("block_id", F.concat(F.lit("s"), F.col("block_id") % 4).alias("name"))
     return relations.in_scope(wanted, b.select("block_id", "parent_id", "identifier"), _paths(b)).select("block_id", "name", "target_id")
