@@ -30,11 +30,11 @@ def by_lines(spans: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def removed(context: DataFrame, gone: DataFrame) -> DataFrame:
     """Without (node_id, file_path, span_id) spans; pinned ones stay."""
-    return context.join(gone.withColumn("_gone", F.lit(True)), KEY, "left").where("pinned or _gone is null").drop("_gone")
+    return context.join(gone.select(*KEY).distinct().withColumn("_gone", F.lit(True)), KEY, "left").where("pinned or _gone is null").drop("_gone")
 
 
 def pinned(context: DataFrame, wanted: DataFrame) -> DataFrame:
-    return context.join(wanted.withColumn("_pin", F.lit(True)), KEY, "left").withColumn("pinned", F.col("pinned") | F.coalesce("_pin", F.lit(False))).drop("_pin")
+    return context.join(wanted.select(*KEY).distinct().withColumn("_pin", F.lit(True)), KEY, "left").withColumn("pinned", F.col("pinned") | F.coalesce("_pin", F.lit(False))).drop("_pin")
 
 
 def cloned(context: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -586,4 +586,4 @@ def x06_histories(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.transform(parts, lambda p: p["event_type"]), "\n").alias("history"))
 
 
-from . import trees as _trees  # noqa: E402, F401
+from . import relational as _relational, trees as _trees  # noqa: E402, F401

@@ -15,12 +15,12 @@ from .catalog import query, table
 _UP = "CASE WHEN n % 10 > 0 THEN n - n % 10 WHEN n % 100 > 0 THEN n - n % 100 WHEN n % 1000 > 0 THEN n - n % 1000 END"
 _TYPE = "CASE WHEN n % 1000 = 0 THEN 'module' WHEN n % 100 = 0 THEN 'class' WHEN n % 10 = 0 THEN 'function' WHEN n % 7 = 0 THEN 'commented_out_code' WHEN n % 11 = 0 THEN 'error' ELSE 'statement' END"
 _BLOCK = f"n AS block_id, {_UP} AS parent_id, n AS ord, {_TYPE} AS type, CASE WHEN n % 1000 = 0 THEN 'm' WHEN n % 100 = 0 THEN 'c' WHEN n % 10 = 0 THEN 'f' ELSE 's' END || (p_size % 4) AS identifier, p_name AS content, CASE WHEN p_size % 5 > 0 THEN 's' || (p_size % 3) END AS span_id"
-_B = f"b AS (SELECT {_BLOCK} FROM (SELECT *, p_partkey - 1 AS n FROM part))"
+_B = f"b AS (SELECT {_BLOCK} FROM (SELECT *, p_partkey AS n FROM part))"
 _P = f"RECURSIVE {_B}, p AS (SELECT block_id AS node_id, block_id AS ancestor_id, parent_id AS up, 0 AS distance FROM b UNION ALL SELECT p.node_id, b.block_id, b.parent_id, distance + 1 FROM p JOIN b ON b.block_id = p.up), d AS (SELECT p.ancestor_id AS start_id, p.distance, b.* FROM p JOIN b ON b.block_id = p.node_id)"
 
 
 def _blocks(spark, d) -> DataFrame:
-    return table(spark, d, "part").withColumn("n", F.col("p_partkey") - 1).selectExpr(*_split(_BLOCK))
+    return table(spark, d, "part").withColumn("n", F.col("p_partkey")).selectExpr(*_split(_BLOCK))
 
 
 def _split(columns: str) -> list[str]:
