@@ -27,7 +27,7 @@ def p11_line_ranges(spark, d):
 
 
 @query("SELECT doc_id FROM documents WHERE n_chars > 0 AND NOT (doc_id % 3 = 0 AND n_chars > 1000)")
-def p15_not_generated(spark, d):
+def p13_not_generated(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("tokens"), F.when(F.col("doc_id") % 3 == 0, "Auto-GENERATED file").alias("first_comment"))
     return predicates.not_generated(rows, 1000).select("doc_id")
 
