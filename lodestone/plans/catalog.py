@@ -580,10 +580,4 @@ def x02_budget_state(spark, d):
     return retrieval.budget_state(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_quantity").cast("long").alias("tokens")), 100, 6)
 
 
-@query("SELECT user_id, string_agg(event_type, chr(10) ORDER BY event_id) AS history FROM events GROUP BY user_id")
-def x06_histories(spark, d):
-    parts = F.sort_array(F.collect_list(F.struct("event_id", "event_type")))
-    return table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.transform(parts, lambda p: p["event_type"]), "\n").alias("history"))
-
-
 from . import relational as _relational, trees as _trees  # noqa: E402, F401
