@@ -17,7 +17,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts at 5-word Jaccard similarity 0.8 or more stays."""
+    """One document of each component of texts at 5-word Jaccard similarity 0.8 or more stays: SimHash's links, verified,
+    then an exact search for what these leave apart."""
     return nearcopies.representatives(docs)
 
 

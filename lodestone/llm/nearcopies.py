@@ -1,4 +1,8 @@
-"""Near copies by word shingles: every pair of texts at Jaccard similarity 0.8 or more, found and verified exactly.
+"""Near copies by SimHash, then exactly: components of every pair of texts at Jaccard similarity 0.8 or more.
+
+SimHash comes first: fingerprints of the texts over shingles of five words, operator 10's trie self-join by blocks of bits
+(`simhash.wide_links`, 11 bits), and each pair so found is verified by its whole sets. It finds most near copies, but no
+number of bits makes it find all, so an exact search follows for what its components leave apart.
 
 Set of a text: 52-bit hashes of its distinct shingles of five ASCII-lower-cased words (fewer words: all as one shingle;
 none: the one value 0). Texts link at 9 * shared >= 4 * (n + m), which is similarity 0.8. Sets are read in one order:
@@ -10,8 +14,8 @@ so the bits in which two sketches differ never outnumber the values in which the
 without their sets being moved, and no link is lost. Then the whole sets, for those that are left.
 
 All values whose least text is the same make one group: near copies and texts with one passage share many values, and so
-meet once. Texts are first compared with a few members of their group, and of these each text verifies one. Only pairs that
-the components of these links leave apart are compared after that: with a few members again, last all; one for each two
+meet once. Groups that SimHash joined whole are done. Texts of the others are first compared with a few members of their
+group of unlike components, and of these each text verifies one. Only pairs that all these links leave apart are compared after that: with a few members again, last all; one for each two
 components, then the rest. So a large group of near copies isn't compared pair by pair. Groups of many texts are dealt out
 in blocks of BLOCK texts; a text of the group's largest component meets only texts of other ones.
 
@@ -32,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import mapped, settled, slices, strings, words
-from .simhash import least_labels
+from .simhash import fingerprints, least_labels, wide_links
 
 SHINGLE = 5
 #: Texts of a sample, and of how many of them a shingle is common.
@@ -270,15 +274,15 @@ def _chunk(count: Column) -> Column:
 
 def _around_pivots(groups: DataFrame) -> DataFrame:
     """Blocks in which texts meet a few members: groups themselves, large ones in chunks that share one member."""
-    stats = groups.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(9), "text").alias("order"), "text", "place")).alias("first"))
+    stats = groups.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(9), "text").alias("order"), "text", "place", "root")).alias("first"))
     stats = settled(stats.where(F.col("n") > BLOCK))
     stats = F.broadcast(stats) if stats.count() <= MOST_LARGE else stats
     chunk = F.when(F.col("n").isNotNull(), F.xxhash64("key", _chunk(F.col("n")))).otherwise(F.col("key"))
-    dealt = groups.join(stats.select("key", "n"), "key", "left").select(chunk.alias("key"), "text", "place")
+    dealt = groups.join(stats.select("key", "n"), "key", "left").select(chunk.alias("key"), "text", "place", "root")
     every = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1)
-    firsts = stats.select("key", F.explode(every).alias("c"), "first").select(F.xxhash64("key", "c").alias("key"), "first.text", "first.place")
+    firsts = stats.select("key", F.explode(every).alias("c"), "first").select(F.xxhash64("key", "c").alias("key"), "first.text", "first.place", "first.root")
     blocks = dealt.withColumn("big", F.lit(0)).union(firsts.withColumn("big", F.lit(1)))
-    return blocks.withColumn("root", F.col("text")).withColumn("short", F.lit(None).cast("binary"))
+    return blocks.withColumn("short", F.lit(None).cast("binary"))
 
 
 def _large(groups: DataFrame, label: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -376,6 +380,23 @@ def _unlike(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return rows.where("r_a <> r_b").select("a", "b", F.least("r_a", "r_b").alias("p"), F.greatest("r_a", "r_b").alias("q"))
 
 
+def by_fingerprint(docs: DataFrame) -> DataFrame:
+    """Pairs (a < b) of texts that SimHash links: equal fingerprints by their least text, others by the trie."""
+    prints = settled(fingerprints(docs.select(F.col("_text").alias("doc_id"), "text"), SHINGLE).distinct())
+    classes = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    same = prints.join(classes, "fp").where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    a, b = (classes.select(F.col("fp").alias(c), F.col("least").alias(f"least_{c}")) for c in ("a", "b"))
+    unlike = settled(wide_links(classes).distinct()).join(a, "a").join(b, "b")
+    return same.union(unlike.select(F.least("least_a", "least_b"), F.greatest("least_a", "least_b"))).distinct()
+
+
+def _one(pairs: DataFrame) -> DataFrame:
+    """Each text's pair with one of the others, the same for a whole group where that can be."""
+    both = pairs.select("a", "b").union(pairs.select("b", "a"))
+    one = both.groupBy("a").agg(F.min(F.struct(F.xxhash64(F.lit(9), "b").alias("order"), "b")).alias("to"))
+    return settled(one.select(F.least("a", "to.b").alias("a"), F.greatest("a", "to.b").alias("b")).distinct())
+
+
 def roots(docs: DataFrame) -> DataFrame:
     """(text, root long): the texts' hashes with those of their components, for texts that have a near copy; docs has `_text`."""
     texts = docs.agg(F.approx_count_distinct("_text")).first()[0]
@@ -383,13 +404,15 @@ def roots(docs: DataFrame) -> DataFrame:
     groups = settled(_groups(_prefixes(docs, common), texts))
     labels = lambda links: least_labels(links).select(F.col("v").alias("text"), "root")
     sketches = _per_text(docs, settled(groups.select("text").distinct()), common, sketch)
-    # Each text with one of the members that it may link to, the same for a whole group where that can be.
-    met = _tested(_pairs(_around_pivots(groups), False), sketches, may_link)
-    both = met.union(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    order = F.xxhash64(F.lit(9), "b")
-    one = both.groupBy("a").agg(F.min(F.struct(order.alias("order"), "b")).alias("to")).select(F.least("a", "to.b").alias("a"), F.greatest("a", "to.b").alias("b"))
-    links = _verified(docs, settled(one.distinct()), common)
+    # SimHash's pairs first, of which each text verifies one; then the same with a few members of its group.
+    met = _tested(by_fingerprint(docs), sketches, may_link)
+    links = _verified(docs, _one(met), common)
     label = labels(links)
+    near = _tested(_pairs(_around_pivots(_several(groups, label)), False), sketches, may_link)
+    met = met.union(near)
+    if not near.isEmpty():
+        links = links.union(_verified(docs, _one(near), common))
+        label = labels(links)
     # Then what these components leave apart: a few pairs, and last all; one for each two components first.
     large = _large(groups, label, sketches)
     for turn in range(1, ROUNDS + 2):

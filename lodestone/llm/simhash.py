@@ -10,6 +10,9 @@ side is empty. Spark spreads the top of the trie: every fingerprint goes to the
 that can still be within the budget, one group for each pair of subtries. A group returns a spanning forest of the links
 it found, never the pairs themselves; `least_labels` joins the forests.
 
+Wider budgets (`wide_links`) go by blocks of the bits, one trie for each with that block on top: fingerprints that differ
+in up to WIDE = blocks * (errors + 1) - 1 bits differ in `errors` at most in one block.
+
 Defined results: null text counts as empty; null doc_id rows belong to their component but never name it unless all
 its ids are null (component_id null); repeated rows stay repeated; an empty table gives an empty result; further
 columns of the input are ignored by `components`.
@@ -24,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import mapped, settled, slices, strings
@@ -36,6 +39,12 @@ SUBTRIE = 1 << 16
 LEAST_BITS = 4
 #: Most links that one task joins, at 16 bytes each; more are joined in distributed rounds.
 FEW_LINKS = 1 << 20
+#: Bits of the wide search; its (blocks, errors in one) up to MANY fingerprints, and beyond; its subtries and their least bits.
+WIDE = 11
+BLOCKS, MANY, BLOCKS_OF_MANY = (4, 2), 1 << 20, (3, 3)
+WIDE_SUBTRIE, WIDE_LEAST_BITS = 1 << 19, 3
+#: Fingerprints of one block that others of a like block meet, where these are many.
+FEW = 8
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -74,10 +83,12 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, fp long")
 
 
-def trie_links(a: np.ndarray, b: np.ndarray | None, top: int, spent: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_links(a: np.ndarray, b: np.ndarray | None, top: int, spent: int, budget: int, block: int = 64, wide: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links between sorted distinct uint64 arrays a and b, or within a if b is None, in chunks of index arrays.
 
-    top: bits that all of a (and all of b) share already; spent: how many of these differ between a and b."""
+    top: bits that all of a (and all of b) share already; spent: how many of these differ between a and b. With a block,
+    the budget holds for its first bits only and `wide` for all; of many that share a block, a FEW meet the others."""
+    wide = budget if wide is None else wide
     same = b is None
     b = a if same else b
     if not len(a) or not len(b):
@@ -86,14 +97,15 @@ def trie_links(a: np.ndarray, b: np.ndarray | None, top: int, spent: int, budget
     todo = [(top, *(np.array([x], np.int64) for x in (0, len(a), 0, len(b), spent)), np.array([same]))]
     while todo:
         depth, alo, ahi, blo, bhi, err, own = todo.pop()
-        small = ((ahi - alo) * (bhi - blo) <= 64) | (depth >= 64)
+        small = ((ahi - alo) * (bhi - blo) <= 64) | (depth >= block)
         if small.any():
             lo, n, m = alo[small], (ahi - alo)[small], (bhi - blo)[small]
+            n = np.where(n * m > 64, np.minimum(n, FEW), n)
             size = n * m
             pair = np.repeat(np.arange(len(size)), size)
             k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             i, j = lo[pair] + k // m[pair], blo[small][pair] + k % m[pair]
-            ok = (np.bitwise_count(a[i] ^ b[j]) <= budget) & (~own[small][pair] | (i < j))
+            ok = (np.bitwise_count(a[i] ^ b[j]) <= wide) & (~own[small][pair] | (i < j))
             if ok.any():
                 yield i[ok], j[ok]
         big = ~small
@@ -132,6 +144,20 @@ def hook(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             return
 
 
+def joining(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As `hook`; returns those of the links that joined two sets."""
+    used = [np.zeros((2, 0), np.int64)]
+    while (apart := label[i] != label[j]).any():
+        i, j = i[apart], j[apart]
+        p, q = label[i], label[j]
+        high, at = np.unique(np.maximum(p, q), return_index=True)
+        label[high] = np.minimum(p, q)[at]
+        used.append(np.stack([i[at], j[at]]))
+        while (label[label] != label).any():
+            label[:] = label[label]
+    return tuple(np.concatenate(used, axis=1))
+
+
 def _order(counts: list[int], total: int) -> list[int]:
     """Bits from the most balanced to the least: a trie in this order spreads best."""
     return sorted(range(64), key=lambda b: (abs(2 * counts[b] - total), b))
@@ -144,20 +170,34 @@ def _permuted(fp: np.ndarray, order: list[int]) -> np.ndarray:
     return out
 
 
-def forests(classes: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """Spanning forests (a, b long) of the links between distinct fingerprints `fp`, one for each pair of subtries."""
+def _balance(classes: DataFrame) -> tuple[int, list[int]]:
+    """The number of fingerprints, and the bits in the trie's order."""
     ones = [F.sum(F.getbit("fp", F.lit(b)).cast("long")).alias(f"b{b}") for b in range(64)]
     counted = classes.agg(F.count("*").alias("n"), *ones).first()
-    n = counted["n"]
-    order = _order([counted[f"b{b}"] or 0 for b in range(64)], n)
-    bits = max(LEAST_BITS, math.ceil(math.log2(max(1, n / SUBTRIE))))
+    return counted["n"], _order([counted[f"b{b}"] or 0 for b in range(64)], counted["n"])
+
+
+def _masks(bits: int, budget: int) -> list[int]:
+    """Differences of up to `budget` bits."""
     masks = [0] + [1 << i for i in range(bits)] * (budget > 0)
     for _ in range(1, budget):
         masks = sorted({m | 1 << i for m in masks for i in range(bits)} | set(masks))
+    return masks
+
+
+def _prefix(order: list[int], bits: int) -> Column:
     prefix = F.lit(0)
     for at in range(bits):
         prefix = prefix + F.shiftleft(F.getbit("fp", F.lit(order[at])).cast("int"), bits - 1 - at)
-    near = classes.select("fp", prefix.alias("p")).select("fp", "p", F.explode(F.array(*map(F.lit, masks))).alias("m"))
+    return prefix
+
+
+def forests(classes: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """Spanning forests (a, b long) of the links between distinct fingerprints `fp`, one for each pair of subtries."""
+    n, order = _balance(classes)
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(1, n / SUBTRIE))))
+    masks = _masks(bits, budget)
+    near = classes.select("fp", _prefix(order, bits).alias("p")).select("fp", "p", F.explode(F.array(*map(F.lit, masks))).alias("m"))
     near = near.select("fp", "p", F.least("p", F.col("p").bitwiseXOR(F.col("m"))).alias("lo"), F.greatest("p", F.col("p").bitwiseXOR(F.col("m"))).alias("hi"))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -178,6 +218,36 @@ def forests(classes: DataFrame, budget: int = BUDGET) -> DataFrame:
     return near.groupBy("lo", "hi").applyInPandas(run, "a long, b long")
 
 
+def wide_links(classes: DataFrame) -> DataFrame:
+    """Links (a, b long) of at most WIDE bits between distinct fingerprints `fp`: for each block and pair of subtries those
+    that span its components. They are links themselves, so that a further test can follow."""
+    n, order = _balance(classes)
+    blocks, errors = BLOCKS if n <= MANY else BLOCKS_OF_MANY
+    bits = max(WIDE_LEAST_BITS, math.ceil(math.log2(max(1, n / WIDE_SUBTRIE))))
+    # Every block has balanced bits on top.
+    orders = [order[k::blocks][: 64 // blocks] for k in range(blocks)]
+    orders = [own + [b for b in order if b not in own] for own in orders]
+    tops = F.array(*(F.struct(F.lit(k).alias("k"), _prefix(own, bits).alias("p")) for k, own in enumerate(orders)))
+    near = classes.select("fp", F.explode(tops).alias("top")).select("fp", "top.k", "top.p", F.explode(F.array(*map(F.lit, _masks(bits, errors)))).alias("m"))
+    near = near.select("fp", "k", "p", F.least("p", F.col("p").bitwiseXOR(F.col("m"))).alias("lo"), F.greatest("p", F.col("p").bitwiseXOR(F.col("m"))).alias("hi"))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        k, lo, hi = map(int, key)
+        fp = rows["fp"].to_numpy(np.int64)
+        trie = _permuted(fp.view(np.uint64), orders[k])
+        side = rows["p"].to_numpy() == lo
+        left = np.flatnonzero(side)[np.argsort(trie[side])]
+        right = np.flatnonzero(~side)[np.argsort(trie[~side])]
+        both = np.concatenate([left, right])
+        label = np.arange(len(both))
+        found = trie_links(trie[left], None if lo == hi else trie[right], bits, (lo ^ hi).bit_count(), errors, 64 // blocks, WIDE)
+        used = [joining(label, i, j if lo == hi else j + len(left)) for i, j in found]
+        i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*used)) if used else (label[:0], label[:0])
+        return pd.DataFrame({"a": fp[both[i]], "b": fp[both[j]]})
+
+    return near.groupBy("k", "lo", "hi").applyInPandas(run, "a long, b long")
+
+
 def _joined(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every vertex of all the edges with the least one of its component."""
     held = [np.stack([part.column(c).to_numpy() for c in ("a", "b")]) for part in parts if part.num_rows]
