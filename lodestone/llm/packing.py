@@ -34,12 +34,14 @@ CLASSES = 64
 MOST_PARTS = 4
 SALTS = 64
 SEPARATOR = 0
+#: Bytes of text whose ids are made at once; a worker's arrays take some 27 times as much.
+ID_BYTES = 1 << 20
 
 
 def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(all ids, uint32; where each text's ids end), the separator after each text."""
     per, index, chunks = wordbpe.coded(texts)
-    lists = [*wordbpe.load(path).chunk_id_lists(chunks), np.array([SEPARATOR], "<u4").tobytes()]
+    lists = [*wordbpe.load_ids(path).chunk_id_lists(chunks), np.array([SEPARATOR], "<u4").tobytes()]
     size = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
     first = np.cumsum(size) - size
     flat = np.frombuffer(b"".join(lists), "<u4")
@@ -56,7 +58,7 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, most=ID_BYTES):
                 ids, ends = token_ids(strings(batch.column("text")), path)
                 length = np.diff(ends, prepend=0)
                 per = np.maximum(1, -(-length // limit))

@@ -58,11 +58,6 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
         self._special = re.compile("|".join(map(re.escape, self.special)) or "(?!)")
         self._narrow = re.compile(NARROW)
-        self._matches = ahocorasick.Automaton(ahocorasick.STORE_INTS)  # every token that ends at each place
-        for b, i in self.inner.items():
-            if self.whole(i):
-                self._matches.add_word(b.decode("latin-1"), i << 6 | len(b))
-        self._matches.make_automaton()
         self._apart: dict[int, bool] = {}
         self._counts: dict[bytes, int] = {}
         self._ids: dict[bytes, bytes] = {}
@@ -111,6 +106,18 @@ class WordBpe:
 
     # --- prefix dynamic programming
 
+    @property
+    def matches(self) -> ahocorasick.Automaton:
+        """Every token that ends at each place. Made at its first use: ids go without it."""
+        if not hasattr(self, "_matches"):
+            made = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for b, i in self.inner.items():
+                if self.whole(i):
+                    made.add_word(b.decode("latin-1"), i << 6 | len(b))
+            made.make_automaton()
+            self._matches = made
+        return self._matches
+
     def inner_prefixes(self, piece: bytes, most: int) -> tuple[list[int], list[int]]:
         """For each prefix of up to `most` bytes without a word's end: number of tokens, last token (-1: empty prefix).
 
@@ -118,7 +125,7 @@ class WordBpe:
         the one token that ends there and may stand after the last token of the prefix before it."""
         count, last = [0] * (most + 1), [-1] * (most + 1)
         known, done = self._apart.get, 0
-        for end, v in self._matches.iter(piece[:most].decode("latin-1")):
+        for end, v in self.matches.iter(piece[:most].decode("latin-1")):
             if end < done:
                 continue  # the last token of this prefix is found
             q, t = end + 1 - (v & 63), v >> 6
@@ -215,6 +222,17 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+@lru_cache(maxsize=2)
+def load_ids(path: str) -> WordBpe:
+    """One as `load` gives, for ids alone: once the ranks are made, the tables that only merges step by step and counts
+    read are given up, and asking for these fails."""
+    made = WordBpe(path)
+    _ = made.ranks  # made from the tables that go now
+    del made.symbols, made.merges, made.spelt, made.inner, made.final
+    WordBpe.whole.cache_clear()
+    return made
+
+
 def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(each text's number of chunks, every chunk's index into the distinct chunks, the distinct chunks)."""
     per, flat = words(texts)

@@ -5,7 +5,9 @@ import math
 import random
 import re
 import string
+import tracemalloc
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -252,6 +254,27 @@ def test_packing_is_whole_and_tight(docs, empty):
     assert packing.packed(empty, VOCAB).count() == 0
 
 
+def test_packing_makes_ids_in_little_memory(monkeypatch):
+    monkeypatch.setattr(packing, "mapped", lambda docs, run, schema: run)
+    run = packing.pieces(SimpleNamespace(dtypes=[("doc_id", "bigint")], select=lambda *_: None), VOCAB)
+    line = " ".join(f"word{i % 97} of, x{i % 13}." for i in range(256))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(2500)), "text": [line] * 2500})
+    alone = next(run(iter([batch.slice(0, 1)])))  # loads the vocabulary
+    tracemalloc.start()
+    got = [p for b in run(iter([batch])) for p in b.column("ids_crc32").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == 2500 * alone.column("ids_crc32").to_pylist()
+    assert peak < 40 << 20  # over 8 MB of text
+
+
+def test_ids_alone_need_no_tables_of_counts():
+    lean, bpe = wordbpe.load_ids(VOCAB), wordbpe.load(VOCAB)
+    chunks = pa.array(["Plain,", "don't", "x9y8", "naïve", "数据", "ﬁ", "<|endoftext|>", "a" * 300, "it's...", "e\u0301"], pa.large_string())
+    assert lean.chunk_id_lists(chunks) == bpe.chunk_id_lists(chunks)
+    assert not hasattr(lean, "symbols") and not hasattr(lean, "merges") and not hasattr(lean, "_matches")
+
+
 def test_plan_uses_every_piece():
     r = np.random.default_rng(5)
     counts = np.bincount(np.minimum(2048, r.geometric(1 / 500, 20000)), minlength=2049)
